@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlattice.functions.ids import canonical_uuid
-from factlattice.operators import dedup, history, trailing
+from factlattice.operators import dedup, history, quantities, trailing
 from factlattice.session import table
 
 WINDOWS = (7, 30)
@@ -49,3 +49,21 @@ def p4_history(spark: SparkSession, root: str) -> DataFrame:
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Deliveries that repeat a message already kept."""
     return dedup.repeated_copies(table(spark, root, "api_usage_events"))
+
+
+def _quantities(spark: SparkSession, root: str) -> DataFrame:
+    return quantities.all_quantities(table(spark, root, "facts"), table(spark, root, "acme_catalog"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Values recorded in a unit or scale other than the common one."""
+    return _quantities(spark, root).where(quantities.is_foreign()).select("record_table", "record_id", "field").distinct()
+
+
+def p1_values(spark: SparkSession, root: str) -> DataFrame:
+    """Every measured value in the common unit, with the unit taken, whether its size decided, and the flag of uncertainty."""
+    q = _quantities(spark, root)
+    return q.select(
+        "record_table", "record_id", "field", F.col("_quantity").alias("quantity"), F.round("_common", 6).alias("common_value"), quantities.common_unit(F.col("_quantity")).alias("common_unit"),
+        F.col("_unit").alias("recorded_unit"), F.col("_by_size").alias("by_size"), F.coalesce(F.col("_posterior") < quantities.SURE, F.lit(False)).alias("uncertain"),
+    )
