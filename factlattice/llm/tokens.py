@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlattice.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 16 << 20
 
@@ -159,7 +161,7 @@ def _tokenizer(raw: bytes) -> Tokenizer:
 def encode_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns of every row with ``ids ARRAY<INT>``. Null and empty text: an empty list. Rows stay where they are: no shuffle."""
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    src = docs.select(*keep, F.col(text).alias("_text"))
+    src = spread(docs.select(*keep, F.col(text).alias("_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text") + ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,7 @@ def encode_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 def token_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns of every row with ``n_tokens BIGINT``, without carrying the ids along."""
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    src = docs.select(*keep, F.col(text).alias("_text"))
+    src = spread(docs.select(*keep, F.col(text).alias("_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text") + ", n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
