@@ -52,3 +52,12 @@ def parallelism(spark: SparkSession) -> int:
 def same_schema_empty(df: DataFrame) -> DataFrame:
     """No rows of the schema of ``df``."""
     return df.where(F.lit(False))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session shuffles to, for work that costs far more than moving the rows.
+
+    Large inputs have more partitions than that already and stay where they are.
+    """
+    n = max(parallelism(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
