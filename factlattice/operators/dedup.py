@@ -85,36 +85,37 @@ def unique_messages(deliveries: DataFrame, columns: list[str], **cols) -> DataFr
 
 
 class QuotientTable:
-    """Identifiers seen in earlier batches, as parquet partitioned by shard; a batch reads only the shards it needs.
+    """Identifiers seen in earlier batches, as parquet by batch number and shard; a batch compares itself shard by shard.
 
-    ``insert`` returns the rows of a batch whose identifier is new, one each, and then records them. Run twice with the same
-    batch it returns nothing the second time. Shards group 2**QUOTIENT_BITS quotients into ``shards`` folders.
+    ``fresh`` gives the rows of a batch whose identifier no other batch has brought, one each; ``record`` keeps their identifiers
+    under the batch's number, replacing what an earlier attempt at that batch left. So a repeated batch gives the same rows.
     """
 
     def __init__(self, path: str, shards: int = 64):
         self.path, self.shards = path, shards
 
-    def _shard(self) -> Column:
-        return F.floor(F.col("_quotient") * self.shards / 2**QUOTIENT_BITS).cast("int")
+    def _keyed(self, df: DataFrame, id_col: str, message_col: str) -> DataFrame:
+        k = df.select("*", *quotient_key(F.col(id_col), F.col(message_col) if message_col in df.columns else F.lit(None).cast("string")))
+        return k.withColumn("_shard", F.floor(F.col("_quotient") * self.shards / 2**QUOTIENT_BITS).cast("int"))
 
-    def insert(self, batch: DataFrame, **cols) -> DataFrame:
-        from factlattice.session import cut
+    def fresh(self, batch: DataFrame, number: int, id_col: str = "id", message_col: str = "message_id", order: list[str] | None = None) -> DataFrame:
+        """Of copies within the batch the first by ``order`` stays (all columns, if not given). Rows without any identifier all stay."""
+        from pyspark.sql.utils import AnalysisException
 
-        spark = batch.sparkSession
-        key = cols.get("key_col", "delivery_id")
-        id_col, message_col = cols.get("id_col", "id"), cols.get("message_col", "message_id")
-        fresh = unique_messages(batch, batch.columns, **cols).select("*", *quotient_key(F.col(id_col), F.col(message_col)))
-        fresh = fresh.withColumn("_shard", self._shard()).dropDuplicates([key])
+        rows = self._keyed(batch, id_col, message_col)
+        first = rows.where("_kind is not null").groupBy("_shard", *KEY).agg(F.min(F.struct(*(order or []), *[c for c in batch.columns if c not in (order or [])])).alias("_r"))
+        one = first.select("_shard", *KEY, *[F.col(f"_r.{c}").alias(c) for c in batch.columns])
         try:
-            seen = spark.read.parquet(self.path)
-        except Exception:  # no batch was inserted yet
+            seen = batch.sparkSession.read.parquet(self.path).where(F.col("batch") != number)
+        except AnalysisException:  # no batch was recorded yet
             seen = None
         if seen is not None:
-            same = [fresh[k].eqNullSafe(seen[k]) for k in ["_shard", *KEY]]
-            cond = same[0]
-            for c in same[1:]:
-                cond = cond & c
-            fresh = fresh.join(seen, cond & fresh["_kind"].isNotNull(), "left_anti")
-        fresh = cut(fresh)
-        fresh.where(F.col("_kind").isNotNull()).select("_shard", *KEY).write.mode("append").partitionBy("_shard").parquet(self.path)
-        return fresh.drop("_shard", *KEY)
+            cond = F.lit(True)
+            for c in ["_shard", *KEY]:
+                cond = cond & one[c].eqNullSafe(seen[c])
+            one = one.join(seen, cond, "left_anti")
+        return one.select(*batch.columns).unionByName(rows.where("_kind is null").select(*batch.columns))
+
+    def record(self, rows: DataFrame, number: int, id_col: str = "id", message_col: str = "message_id") -> None:
+        k = self._keyed(rows, id_col, message_col).where("_kind is not null").select("_shard", *KEY)
+        k.write.mode("overwrite").partitionBy("_shard").parquet(f"{self.path}/batch={number}")
