@@ -135,7 +135,7 @@ def ledger(versions: DataFrame, partitions: int | None = None) -> DataFrame:
     below = tagged.where(touched & F.col("pending") & ~F.col("open") & F.col("later").isNotNull() & ~reach)
     top = below.groupBy("key", "pid").agg(F.max("pos").alias("top"))
     tagged = tagged.join(F.broadcast(top), ["key", "pid"], "left")
-    unsure = touched & (F.col("open") | (F.col("pending") & (reach | (F.col("pos") == F.col("top")))))
+    unsure = touched & (F.col("open") | (F.col("pending") & (reach | F.coalesce(F.col("pos") == F.col("top"), F.lit(False)))))
     merged = tagged.where(unsure).select(*_COLS).groupBy("key").applyInPandas(_merge, _ROW)
     settled = tagged.where(~unsure).select(*_COLS).unionByName(merged)
 
