@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factlattice.functions import dates, identifiers, numbers, recalls, text
 from factlattice.operators import resolve
 from factlattice.plans.registry import Registry
-from factlattice.session import table
+from factlattice.session import spread, table
 from factlattice.sources import documents as sources
 from factlattice.sources import tabular
 
@@ -105,7 +105,7 @@ _RE = {"HAZARD": recalls.HAZARDS, "REMEDY": recalls.REMEDIES, "PATHOGEN": recall
 
 
 def _class_sql(kind, rules):
-    arms = [f"SELECT '{kind}' AS kind, '{n}' AS class, count(*) AS docs FROM documents WHERE lang = 'en' AND regexp_matches(text, '(?i){p}')" for n, p in rules.items()]
+    arms = [f"SELECT '{kind}' AS kind, '{n}' AS class, count(*) AS docs FROM documents WHERE lang = 'en' AND regexp_matches(lower(text), '{p}')" for n, p in rules.items()]
     return " UNION ALL ".join(arms)
 
 
@@ -177,7 +177,8 @@ def record_keys(spark, root):
 @query()
 def notice_records(spark, root):
     """Every document's structured record: reasons, hazards, remedies, geography, codes."""
-    return table(spark, root, "documents").select("doc_id", recalls.structure_notice(F.col("text")).alias("r")).select("doc_id", "r.*")
+    d = spread(table(spark, root, "documents").select("doc_id", "text"))
+    return d.select("doc_id", recalls.structure_notice(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 @query()
