@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlattice.functions.values import is_meaningful, json_scalar, squeezed
-from factlattice.session import rows_of
+from factlattice.session import cut, rows_of
 
 BIN = 0.02  # decades
 KERNEL = 0.1  # decades, smoothing of the density of true values
@@ -246,7 +246,7 @@ def normalised(df: DataFrame, value: str, unit: str, quantity: str) -> DataFrame
     """``df``, rows of known quantities with a meaningful value only, with ``_unit``, ``_mixed``, ``_by_size``, ``_posterior`` and ``_common``,
     the value in the common unit (null where no number is readable)."""
     known = df.where(F.col(quantity).isin(*QUANTITIES) & is_meaningful(F.col(value)))
-    done = assign_by_size(resolve_units(readings(known, value, unit, quantity)))
+    done = assign_by_size(cut(resolve_units(readings(known, value, unit, quantity))))  # read once, used to fit and to assign
     q = F.col("_quantity")
     extra = F.when(F.col("_mixed"), F.coalesce(to_common(q, F.col("_u_2"), F.col("_second")), F.lit(0.0))).otherwise(F.lit(0.0))
     return done.withColumn("_common", to_common(q, F.col("_unit"), F.col("_number")) + extra)
