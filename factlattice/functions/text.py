@@ -34,9 +34,17 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(T.StringType())
-def _unmarked(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"))
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks and full-width signs, with their plain counterparts, derived from Unicode."""
+    source, target = "", ""
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]:
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain.isascii():
+            source, target = source + chr(code), target + plain
+    return source, target
+
+
+_MARKED, _UNMARKED = _plain_letters()
 
 
 _ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);")
@@ -169,9 +177,20 @@ def escape_html(c: Column) -> Column:
 
 
 def model_key(c: Column) -> Column:
-    """Upper-case letters and digits without accents: the key under which model numbers meet."""
-    plain = F.when(ascii_only(c), c).otherwise(_unmarked(c))
-    return F.regexp_replace(F.upper(plain), "[^A-Z0-9]", "")
+    """Upper-case letters and digits without accents: the key under which model numbers meet. JVM only, so it may stand in lambdas."""
+    return F.regexp_replace(F.upper(F.translate(c, _MARKED, _UNMARKED)), "[^A-Z0-9]", "")
+
+
+def decode_named(c: Column) -> Column:
+    """Named HTML entities only; JVM only, so it may stand in lambdas."""
+    for name, sign in [*((k, v) for k, v in ENTITIES.items() if k != "amp"), ("amp", "&")]:
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(sign))
+    return c
+
+
+def clean_item(c: Column) -> Column:
+    """``clean_notice`` for items of arrays: without numeric entities."""
+    return F.coalesce(collapse(decode_named(F.regexp_replace(c, "<[^>]+>", " "))), F.lit(""))
 
 
 def clean_notice(c: Column) -> Column:
