@@ -101,19 +101,19 @@ def pieces(items: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _pack(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["size", "unit"], ascending=[False, True], kind="stable")
+    frame = frame.sort_values(["size", "unit", "piece"], ascending=[False, True, True], kind="stable")
     capacity = int(frame["capacity"].iloc[0])
     frame["bin"] = best_fit_decreasing(frame["size"].tolist(), capacity)
     frame["fill"] = frame.groupby("bin")["size"].transform("sum")
-    return frame[["target", "shard", "unit", "size", "bin", "fill"]]
+    return frame[["target", "shard", "unit", "piece", "size", "bin", "fill"]]
 
 
-_PACKED = "target string, shard long, unit string, size long, bin long, fill long"
+_PACKED = "target string, shard long, unit string, piece long, size long, bin long, fill long"
 
 
 def _round(units: DataFrame, shards: int) -> DataFrame:
-    """One packing of ``units(target, capacity, unit, size)``."""
-    s = units.withColumn("shard", F.pmod(F.xxhash64("unit"), F.lit(shards)))
+    """One packing of ``units(target, capacity, unit, piece, size)``."""
+    s = units.withColumn("shard", F.pmod(F.xxhash64("unit", "piece"), F.lit(shards)))
     return s.groupBy("target", "shard").applyInPandas(_pack, _PACKED)
 
 
@@ -123,21 +123,16 @@ def pack(items: DataFrame, targets: DataFrame, items_per_shard: int = ITEMS_PER_
     No container holds more than the capacity, and every piece is in exactly one. Ties in size go by item. Repeated items are
     items of their own only if their ``item`` differs. Empty input gives no rows.
     """
-    p = pieces(items, targets).select("target", F.col("capacity").cast("bigint").alias("capacity"), F.col("item").cast("string").alias("item"), F.col("piece").cast("bigint").alias("piece"), F.col("size").cast("bigint").alias("size"))
-    p = p.withColumn("unit", F.concat_ws("#", "item", "piece"))
+    whole = F.col("size").cast("bigint")
+    p = pieces(items, targets).select("target", F.col("capacity").cast("bigint").alias("capacity"), F.col("item").cast("string").alias("unit"), F.col("piece").cast("bigint").alias("piece"), whole.alias("size"))
+    p = cut(p)  # the sizes may have cost tokenising; they are read three times
     full = (F.col("size") == F.col("capacity")) & (F.col("size") > 0)
-    done = p.where(full).select("target", "unit", F.concat(F.lit("f-"), "unit").alias("container"))
-    rest = cut(p.where(~full))
-    n = rest.count()
-    shards = max(1, math.ceil(n / items_per_shard))
-    first = cut(_round(rest.select("target", "capacity", "unit", "size"), shards))
-    name = F.concat_ws("-", F.lit("a"), "shard", "bin")
-    bins = first.withColumn("container", name)
+    done = p.where(full).select("target", F.concat_ws("-", F.lit("f"), "unit", "piece").alias("container"), "unit", "piece", "size")
+    rest = p.where(~full)
+    first = cut(_round(rest, max(1, math.ceil(rest.count() / items_per_shard)))).withColumn("container", F.concat_ws("-", F.lit("a"), "shard", "bin"))
     caps = p.sparkSession.createDataFrame([(r.target, int(r.capacity)) for r in known_targets(targets)], "target string, capacity long")
-    loose = first.groupBy("target", "shard", "bin").agg(F.max("fill").alias("size")).join(F.broadcast(caps), "target").where(F.col("size") < F.col("capacity") * LOOSE)
-    loose = cut(loose.select("target", "capacity", F.concat_ws("-", F.lit("a"), "shard", "bin").alias("unit"), "size"))
-    again = max(1, math.ceil(loose.count() / items_per_shard))
-    merged = _round(loose, again).select("target", F.col("unit").alias("container"), F.concat_ws("-", F.lit("b"), "shard", "bin").alias("to"))
-    placed = bins.join(merged, ["target", "container"], "left").select("target", "unit", F.coalesce("to", "container").alias("container"))
-    return p.join(placed.unionByName(done), ["target", "unit"]).select("target", "container", "item", "piece", "size")
-
+    loose = first.groupBy("target", "container").agg(F.max("fill").alias("size")).join(F.broadcast(caps), "target").where(F.col("size") < F.col("capacity") * LOOSE)
+    loose = cut(loose.select("target", "capacity", F.col("container").alias("unit"), F.lit(0).cast("bigint").alias("piece"), "size"))
+    merged = _round(loose, max(1, math.ceil(loose.count() / items_per_shard))).select("target", F.col("unit").alias("container"), F.concat_ws("-", F.lit("b"), "shard", "bin").alias("to"))
+    placed = first.join(merged, ["target", "container"], "left").select("target", F.coalesce("to", "container").alias("container"), "unit", "piece", "size")
+    return placed.unionByName(done).select("target", "container", F.col("unit").alias("item"), "piece", "size")
