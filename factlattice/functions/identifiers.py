@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factlattice.functions.text import collapse, fold_punctuation, slugify, title_case, trim
+from factlattice.functions.text import collapse, fold_punctuation, nfkc, slugify, title_case, trim
 
 _DROP = {"alphanumeric": "[^0-9A-Za-z]", "digits": "[^0-9]", "letters": "[^A-Za-z]"}
 # How each kind of alias is normalised.
@@ -13,8 +13,8 @@ PROFILES = {"model_number": {}, "ahri_ref": {"keep": "digits", "strip_zeros": Tr
 
 
 def normalise(c: Column, keep: str = "alphanumeric", case: str = "upper", strip_zeros: bool = False, pad_to: int | None = None, max_length: int | None = None) -> Column:
-    """Kept characters only, in one case; optionally without leading zeros (one stays), padded with zeros (never cut), cut."""
-    x = F.regexp_replace(fold_punctuation(c), _DROP[keep], "")
+    """Kept characters of the NFKC form only, in one case; optionally without leading zeros (one stays), padded with zeros (never cut), cut."""
+    x = F.regexp_replace(fold_punctuation(nfkc(c)), _DROP[keep], "")
     x = F.upper(x) if case == "upper" else F.lower(x) if case == "lower" else x
     if strip_zeros:
         x = F.when(x.rlike("^0+$"), "0").otherwise(F.regexp_replace(x, "^0+", ""))

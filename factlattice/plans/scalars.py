@@ -63,9 +63,19 @@ def substring_search(spark, root):
 def identifier_forms(spark, root):
     """Model numbers in the forms under which identifiers meet (plain ASCII spellings)."""
     c = table(spark, root, "acme_catalog").where(F.col("model").rlike("^[ -~]*$") & F.col("model").rlike("[0-9]"))
+    return _forms(c)
+
+
+def _forms(c):
     return c.select("catalog_id", identifiers.normalise(F.col("model")).alias("model_number"), identifiers.normalise(F.col("model"), keep="digits", pad_to=12).alias("digits"))
 
 
+@query()
+def all_identifier_forms(spark, root):
+    """Model numbers of all rows, in any spelling, in the forms under which identifiers meet."""
+    return _forms(table(spark, root, "acme_catalog"))
+
+
 _UPC = "(SELECT entity_id, a.alias_value AS u FROM (SELECT entity_id, unnest(aliases) AS a FROM entities) x WHERE a.alias_type = 'upc' AND regexp_full_match(a.alias_value, '[0-9]{12}'))"
 _WEIGHTED = " + ".join(f"{3 if i % 2 == 0 else 1} * CAST(substr(u, {11 - i}, 1) AS INT)" for i in range(11))
 
@@ -112,7 +122,17 @@ def _class_sql(kind, rules):
 @query("SELECT * FROM (" + " UNION ALL ".join(_class_sql(k, r) for k, r in _RE.items()) + ") x WHERE docs > 0")
 def notice_classes(spark, root):
     """Hazards, remedies and pathogens that English texts speak of."""
-    d = table(spark, root, "documents").where("lang = 'en' and text is not null")
+    return _notice_classes(table(spark, root, "documents").where("lang = 'en'"))
+
+
+@query()
+def all_notice_classes(spark, root):
+    """Hazards, remedies and pathogens that texts speak of in English, whatever their language is given as."""
+    return _notice_classes(table(spark, root, "documents"))
+
+
+def _notice_classes(docs):
+    d = docs.where("text is not null")
     named = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("class"))
     found = F.concat(*[F.transform(recalls.classes(F.col("text"), rules), named(kind)) for kind, rules in _RE.items()])
     return d.select(F.explode(found).alias("c")).groupBy("c.kind", "c.class").agg(F.count(F.lit(1)).alias("docs"))
@@ -171,6 +191,16 @@ THEN trim(brand) || '|' || trim(model) || '|' || trim(series) ELSE 'catalog#' ||
 def record_keys(spark, root):
     """Composite keys, all or nothing."""
     c = table(spark, root, "acme_catalog").where(F.concat(*[F.coalesce(x, F.lit("")) for x in ("brand", "model", "series")]).rlike("^[ -~]*$"))
+    return _record_keys(c)
+
+
+@query()
+def all_record_keys(spark, root):
+    """Composite keys of all rows, in any spelling."""
+    return _record_keys(table(spark, root, "acme_catalog"))
+
+
+def _record_keys(c):
     return c.select("catalog_id", tabular.composite_key([F.col("brand"), F.col("model"), F.col("series")], "|", F.concat(F.lit("catalog#"), F.col("catalog_id"))).alias("record_key"))
 
 
