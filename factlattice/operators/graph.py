@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,31 +46,40 @@ def resolve_chains(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     return ends.select("src", F.when(~cyc, F.col("dst")).alias("target"), F.when(~cyc, F.col("hops")).alias("hops"), cyc.alias("cycle"))
 
 
-def lineage(dependencies: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def lineage(dependencies: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, input, depth): all inputs of each root, direct and indirect, with the least depth; cycles end where they close.
 
-    ``dependencies(derived, input)``, ``roots(root)``."""
+    ``dependencies(derived, input)``, ``roots(root)``. Goes on until nothing new is found; with ``max_depth``, inputs further back are
+    an error."""
     d = dependencies.select("derived", "input").distinct()
     seen = cut(roots.select(F.col("root"), F.col("root").alias("input")).distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         nxt = frontier.select("root", F.col("input").alias("derived")).join(d, "derived").select("root", "input").distinct()
         frontier = cut(nxt.join(seen.select("root", "input"), ["root", "input"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"inputs more than {max_depth} steps back")
         seen = seen.unionByName(frontier)
+        if depth % 32 == 0:  # the plan stays short
+            seen = cut(seen)
     return seen.where("depth > 0")
 
 
-def bottom_up(dependencies: DataFrame, good: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node): derived nodes all of whose inputs are good, directly or in turn. ``good(node)`` are those that need no inputs."""
+def bottom_up(dependencies: DataFrame, good: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node): derived nodes all of whose inputs are good, directly or in turn. ``good(node)`` are those that need no inputs.
+
+    Goes on until nothing new is found; needing more than ``max_rounds``, if given, is an error."""
     d = cut(dependencies.select("derived", "input").distinct())
     ok = cut(good.select("node").distinct())
-    for _ in range(max_rounds):
+    for done in count():
         need = d.groupBy("derived").agg(F.count(F.lit(1)).alias("need"))
         have = d.join(ok.withColumnRenamed("node", "input"), "input", "left_semi").groupBy("derived").agg(F.count(F.lit(1)).alias("have"))
         new = cut(need.join(have, "derived").where("need = have").select(F.col("derived").alias("node")).join(ok, "node", "left_anti"))
         if new.isEmpty():
             break
+        if done == max_rounds:
+            raise ValueError(f"more than {max_rounds} rounds needed")
         ok = cut(ok.unionByName(new))
     return ok

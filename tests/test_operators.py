@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from factlattice.operators import graph, ordering, relational, resolve, selection, versions
@@ -78,3 +80,14 @@ def test_joins_and_versions(spark):
     assert relational.blocking_pairs(blocks, F.col("keys"), max_block=5).count() == 1 and relational.oversized_blocks(blocks, F.col("keys"), 5).first()[:] == ("big", 9)
     both = relational.compare(spark.createDataFrame([("e", "p", "1"), ("f", "p", "1"), ("e", "q", "2")], "entity_id string, property string, v string"), ["e", "f"], F.col("v"))
     assert {(x.property, x.differs) for x in both.collect()} == {("p", False), ("q", True)}
+
+
+def test_long_lineage_is_followed_to_its_end(spark):
+    d = spark.createDataFrame([(i, i + 1) for i in range(70)], "derived int, input int")
+    got = {tuple(r) for r in graph.lineage(d, spark.createDataFrame([(0,)], "root int")).collect()}
+    assert got == {(0, i, i) for i in range(1, 71)}
+    with pytest.raises(ValueError):
+        graph.lineage(d, spark.createDataFrame([(0,)], "root int"), max_depth=3)
+    assert graph.bottom_up(d, spark.createDataFrame([(70,)], "node int")).count() == 71
+    with pytest.raises(ValueError):
+        graph.bottom_up(d, spark.createDataFrame([(70,)], "node int"), max_rounds=3)
