@@ -7,31 +7,44 @@ from pyspark.sql import functions as F
 
 from factlattice.functions import dates, identifiers, recalls, text
 
-# Unit words of product quantities.
-_UNIT_WORDS = {
-    "pounds": "lb lbs pound pounds", "kilograms": "kg kgs kilogram kilograms", "ounces": "oz ounce ounces", "units": "unit units each ea pieces piece pcs", "cases": "case cases cs", "boxes": "box boxes", "cartons": "carton cartons", "bottles": "bottle bottles btls",
-    "vials": "vial vials", "bags": "bag bags", "jars": "jar jars", "cans": "can cans", "packages": "package packages packs pack pkgs", "tablets": "tablet tablets", "capsules": "capsule capsules", "kits": "kit kits", "devices": "device devices", "lots": "lot lots",
+# Unit words of product quantities and the units they stand for.
+UNIT_WORDS = {
+    "lb": "pounds", "lbs": "pounds", "pound": "pounds", "pounds": "pounds", "kg": "kilograms", "kgs": "kilograms", "kilogram": "kilograms", "kilograms": "kilograms", "oz": "ounces", "ounce": "ounces", "ounces": "ounces",
+    "unit": "units", "units": "units", "each": "units", "ea": "units", "piece": "units", "pieces": "units", "pcs": "units", "case": "cases", "cases": "cases", "cs": "cases", "box": "boxes", "boxes": "boxes",
+    "carton": "cartons", "cartons": "cartons", "bottle": "bottles", "bottles": "bottles", "btls": "bottles", "vial": "vials", "vials": "vials", "bag": "bags", "bags": "bags", "jar": "jars", "jars": "jars",
+    "can": "cans", "cans": "cans", "package": "packages", "packages": "packages", "pack": "packages", "packs": "packages", "pkgs": "packages", "tablet": "tablets", "tablets": "tablets", "capsule": "capsules", "capsules": "capsules",
+    "kit": "kits", "kits": "kits", "device": "devices", "devices": "devices", "tray": "trays", "trays": "trays", "syringe": "syringes", "syringes": "syringes", "tube": "tubes", "tubes": "tubes", "pouch": "pouches", "pouches": "pouches",
+    "container": "containers", "containers": "containers", "tub": "tubs", "tubs": "tubs", "gal": "gallons", "gallon": "gallons", "gallons": "gallons", "liter": "liters", "liters": "liters", "pallet": "pallets", "pallets": "pallets",
+    "dozen": "dozen", "lot": "lots", "lots": "lots", "bar": "bars", "bars": "bars", "ampule": "ampules", "ampules": "ampules", "ampoules": "ampules", "bundle": "bundles", "bundles": "bundles", "set": "sets", "sets": "sets",
+    "system": "systems", "systems": "systems",
 }
+# What stands behind a number that describes one package, not an amount of packages: sizes, and words that join.
+PACKAGE_SIZES = ("ounces", "lots", "grams", "gram", "g", "gm", "mg", "mcg", "ml", "fl", "in", "cm", "mm", "count", "ct", "x", "of", "per")
 
 
 def quantity(c: Column) -> Column:
-    """items(value, unit), and the total and unit where there is just one item. Sizes such as ounces that follow a first item, and
-    words such as 'x' or 'per', name no quantity of their own."""
-    p = r"(?<![\w.])([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\.[0-9]+)?)(?:\s*(?:total\s+)?([A-Za-z][A-Za-z./-]{0,24}))?"
-    t = F.coalesce(F.trim(c), F.lit(""))
-    values, words = F.regexp_extract_all(t, F.lit(p), F.lit(1)), F.regexp_extract_all(t, F.lit(p), F.lit(2))
-
-    def unit(w: Column) -> Column:
-        head = F.regexp_replace(F.lower(F.element_at(F.split(w, "[/-]"), 1)), r"\.$", "")
-        out = F.nullif(head, F.lit(""))
-        for name, spelled in _UNIT_WORDS.items():
-            out = F.when(head.isin(*spelled.split(" ")), name).otherwise(out)
-        return out
-
-    pairs = F.transform(F.arrays_zip(values.alias("v"), words.alias("w")), lambda x, i: F.struct(F.replace(x["v"], F.lit(","), F.lit("")).cast("double").alias("value"), unit(x["w"]).alias("unit"), F.lower(x["w"]).alias("w"), i.alias("i")))
-    skip = lambda x: (x["i"] > 0) & (F.coalesce(x["unit"].isin("ounces", "grams", "ml", "count", "ct", "lots"), F.lit(False)) | x["w"].isin("x", "of", "per", "mg", "mcg", "ml", "g", "gm", "fl", "in", "cm", "mm"))
-    kept = F.transform(F.filter(pairs, lambda x: ~skip(x)), lambda x: F.struct(x["value"].alias("value"), x["unit"].alias("unit")))
-    return recalls.let(kept, lambda k: F.struct(k.alias("items"), F.when(F.size(k) == 1, k[0]["value"]).alias("total"), F.when(F.size(k) == 1, k[0]["unit"]).alias("unit")))
+    """items(value, unit), and the total and unit where there is just one item; no items for null and for text without a number.
+
+    The first number of a text is an amount; a later one is too, unless what follows it makes it the size of a package. A unit
+    is the word behind the number, up to a slash or hyphen, as ``UNIT_WORDS`` has it or as it stands; digits within a code such as
+    A12 or 1.2.3 are no number."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?<![0-9a-z.,])([0-9][0-9,]*(?:\.[0-9]+)?)(?=[a-z(]|$)", "$1 "), r"[\s;:()]+|,(?![0-9])"), lambda w: (w != "") & (w != "total"))
+    names = F.create_map(*[F.lit(x) for kv in UNIT_WORDS.items() for x in kv])
+
+    def amounts(ws: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            word = F.regexp_extract(F.get(ws, i + 1), r"^([a-z][a-z.]*)", 1)
+            word = F.nullif(F.regexp_replace(word, r"\.+$", ""), F.lit(""))
+            number = F.when(w.rlike(r"^(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?$"), F.replace(w, F.lit(","), F.lit("")).try_cast("double"))
+            return F.struct(number.alias("value"), F.coalesce(F.try_element_at(names, word), word).alias("unit"))
+
+        return F.filter(F.transform(ws, one), lambda x: x["value"].isNotNull())
+
+    def kept(items: Column) -> Column:
+        return F.filter(items, lambda x, i: (i == 0) | ~F.coalesce(x["unit"].isin(*PACKAGE_SIZES), F.lit(False)))
+
+    whole = recalls.let(recalls.let(words, amounts), kept)
+    return recalls.let(whole, lambda k: F.struct(k.alias("items"), F.when(F.size(k) == 1, F.get(k, F.lit(0))["value"]).alias("total"), F.when(F.size(k) == 1, F.get(k, F.lit(0))["unit"]).alias("unit")))
 
 
 def usable_number(c: Column) -> Column:

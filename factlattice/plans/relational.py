@@ -374,23 +374,23 @@ def bounded_walk(spark, root):
     return graph.bfs(edges, spark.createDataFrame([("r0",)], "node string"), 3)
 
 
-@query("""WITH RECURSIVE l AS (SELECT from_entity_id AS src, min(to_entity_id) AS dst FROM entity_redirects WHERE active AND to_entity_id IS NOT NULL AND reason = 'MERGE' GROUP BY 1),
+@query("""WITH RECURSIVE l AS (SELECT from_entity_id AS src, min(to_entity_id) AS dst FROM entity_redirects WHERE active AND to_entity_id IS NOT NULL GROUP BY 1),
 w AS (SELECT src, dst, 1 AS hops FROM l UNION ALL SELECT w.src, l.dst, w.hops + 1 FROM w JOIN l ON l.src = w.dst WHERE w.hops < 200)
 SELECT src, dst AS target, CAST(hops AS BIGINT) AS hops FROM w WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.src = w.dst)""")
 def redirect_ends(spark, root):
-    """Where chains of merges end; chains that run into a cycle have no end."""
-    r = table(spark, root, "entity_redirects").where("active and to_entity_id is not null and reason = 'MERGE'").select(F.col("from_entity_id").alias("src"), F.col("to_entity_id").alias("dst"))
+    """Where chains of redirects, whatever their reason, end; chains that run into a cycle have no end."""
+    r = table(spark, root, "entity_redirects").where("active and to_entity_id is not null").select(F.col("from_entity_id").alias("src"), F.col("to_entity_id").alias("dst"))
     return graph.resolve_chains(r).where("not cycle").select("src", "target", "hops")
 
 
 @query("""WITH RECURSIVE d AS (SELECT DISTINCT id AS derived, supersedes_fact_id AS input FROM facts WHERE supersedes_fact_id IS NOT NULL),
-w AS (SELECT derived AS root, input, 1 AS depth FROM d WHERE derived IN (SELECT id FROM facts WHERE property = 'seer2') UNION ALL SELECT w.root, d.input, w.depth + 1 FROM w JOIN d ON d.derived = w.input WHERE w.depth < 60)
+w AS (SELECT derived AS root, input, 1 AS depth FROM d UNION ALL SELECT w.root, d.input, w.depth + 1 FROM w JOIN d ON d.derived = w.input WHERE w.depth < 60)
 SELECT root, input, min(depth) AS depth FROM w WHERE root <> input GROUP BY 1, 2""")
 def fact_lineage(spark, root):
-    """All facts behind each efficiency fact, through any number of steps."""
+    """All facts behind each fact, through any number of steps (the SQL goes 60 steps back)."""
     f = table(spark, root, "facts")
     d = f.where("supersedes_fact_id is not null").select(F.col("id").alias("derived"), F.col("supersedes_fact_id").alias("input"))
-    return graph.lineage(d, f.where("property = 'seer2'").select(F.col("id").alias("root")))
+    return graph.lineage(d, d.select(F.col("derived").alias("root")))
 
 
 @query("""WITH o AS (SELECT user_id, ts, event_type, CASE WHEN row_number() OVER w = 1 OR lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factlattice.functions import dates, identifiers, numbers, recalls, text
+from factlattice.functions import dates, identifiers, numbers, recalls, text, vocabulary
 from factlattice.operators import resolve
 from factlattice.plans.registry import Registry
 from factlattice.session import spread, table
@@ -59,32 +59,27 @@ def substring_search(spark, root):
     return table(spark, root, "entities").where(text.contains_folded(F.col("canonical_name"), F.lit("Air WORKS"))).select("entity_id", "canonical_name")
 
 
-@query("SELECT catalog_id, upper(regexp_replace(model, '[^0-9A-Za-z]', '', 'g')) AS model_number, lpad(regexp_replace(model, '[^0-9]', '', 'g'), 12, '0') AS digits FROM acme_catalog WHERE model IS NOT NULL AND regexp_full_match(model, '[ -~]*') AND regexp_matches(model, '[0-9]')")
-def identifier_forms(spark, root):
-    """Model numbers in the forms under which identifiers meet (plain ASCII spellings)."""
-    c = table(spark, root, "acme_catalog").where(F.col("model").rlike("^[ -~]*$") & F.col("model").rlike("[0-9]"))
-    return _forms(c)
-
-
-def _forms(c):
-    return c.select("catalog_id", identifiers.normalise(F.col("model")).alias("model_number"), identifiers.normalise(F.col("model"), keep="digits", pad_to=12).alias("digits"))
+_WIDE = "".join(chr(0xFF00 + i) for i in range(1, 95))  # full-width forms of the printable ASCII signs
+_NARROW = "".join(chr(0x20 + i) for i in range(1, 95)).replace("'", "''")
 
 
-@query()
-def all_identifier_forms(spark, root):
+@query(rf"""SELECT catalog_id, upper(regexp_replace(m, '[^0-9A-Za-z]', '', 'g')) AS model_number, CASE WHEN d = '' OR len(d) >= 12 THEN d ELSE lpad(d, 12, '0') END AS digits
+FROM (SELECT catalog_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (SELECT catalog_id, translate(model, '{_WIDE}', '{_NARROW}') AS m FROM acme_catalog) x) y""")
+def identifier_forms(spark, root):
     """Model numbers of all rows, in any spelling, in the forms under which identifiers meet."""
-    return _forms(table(spark, root, "acme_catalog"))
+    c, m = table(spark, root, "acme_catalog"), F.col("model")
+    return c.select("catalog_id", identifiers.normalise(m).alias("model_number"), identifiers.normalise(m, keep="digits", pad_to=12).alias("digits"))
 
 
-_UPC = "(SELECT entity_id, a.alias_value AS u FROM (SELECT entity_id, unnest(aliases) AS a FROM entities) x WHERE a.alias_type = 'upc' AND regexp_full_match(a.alias_value, '[0-9]{12}'))"
-_WEIGHTED = " + ".join(f"{3 if i % 2 == 0 else 1} * CAST(substr(u, {11 - i}, 1) AS INT)" for i in range(11))
+_WEIGHTED = " + ".join(f"{1 if i % 2 else 3} * CAST(substr(u, {i + 1}, 1) AS INT)" for i in range(13))
 
 
-@query(f"SELECT entity_id, u AS upc, (10 - ({_WEIGHTED}) % 10) % 10 = CAST(substr(u, 12, 1) AS INT) AS valid FROM {_UPC} y")
+@query(f"""SELECT entity_id, code, CASE WHEN u IS NULL THEN FALSE ELSE (10 - ({_WEIGHTED}) % 10) % 10 = CAST(substr(u, 14, 1) AS INT) END AS valid
+FROM (SELECT entity_id, code, CASE WHEN regexp_full_match(code, '[0-9]{{8,14}}') THEN lpad(code, 14, '0') END AS u FROM (SELECT entity_id, a.alias_value AS code FROM (SELECT entity_id, unnest(aliases) AS a FROM entities) x WHERE a.alias_type = 'upc' AND a.alias_value IS NOT NULL) y) z""")
 def check_digits(spark, root):
-    """Whether each product code carries a right check digit."""
-    a = table(spark, root, "entities").select("entity_id", F.explode("aliases").alias("a")).where("a.alias_type = 'upc'").select("entity_id", F.col("a.alias_value").alias("upc"))
-    return a.where(F.col("upc").rlike("^[0-9]{12}$")).select("entity_id", "upc", identifiers.check_digit_ok(F.col("upc")).alias("valid"))
+    """Whether each product code, of 8 to 14 digits, carries a right check digit; anything else doesn't."""
+    a = table(spark, root, "entities").select("entity_id", F.explode("aliases").alias("a")).where("a.alias_type = 'upc'").select("entity_id", F.col("a.alias_value").alias("code"))
+    return a.where("code is not null").select("entity_id", "code", identifiers.check_digit_ok(F.col("code")).alias("valid"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(-(l_extendedprice * l_discount) * 10 + 0.5) / 10 AS rounded FROM lineitem""")
@@ -93,12 +88,26 @@ def half_up_rounding(spark, root):
     return table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", numbers.js_round(-(F.col("l_extendedprice") * F.col("l_discount")), 1).alias("rounded"))
 
 
-@query("""SELECT id, round(CASE unit WHEN 'kg' THEN TRY_CAST(normalized_value AS DOUBLE) WHEN 'g' THEN TRY_CAST(normalized_value AS DOUBLE) * 0.001 WHEN 'oz' THEN TRY_CAST(normalized_value AS DOUBLE) * 0.028349523125
-WHEN 'lb' THEN TRY_CAST(normalized_value AS DOUBLE) * 0.45359237 END, 6) AS kilograms FROM (SELECT DISTINCT id, unit, normalized_value FROM facts WHERE property = 'net_weight' AND unit IN ('kg', 'g', 'oz', 'lb') AND TRY_CAST(normalized_value AS DOUBLE) IS NOT NULL) x""")
+_SPELLED = "lower(regexp_replace(unit, '[ .]', '', 'g'))"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT id, property, {_SPELLED} AS u, TRY_CAST(normalized_value AS DOUBLE) AS v FROM facts WHERE TRY_CAST(normalized_value AS DOUBLE) IS NOT NULL AND unit IS NOT NULL)
+SELECT id, property, round(CASE WHEN u IN ('kg', 'kgs') THEN v WHEN u = 'g' THEN v * 0.001 WHEN u IN ('oz', 'ounces') THEN v * 0.028349523125 WHEN u IN ('lb', 'lbs', 'pounds') THEN v * 0.45359237
+WHEN u IN ('btu/h', 'btuh') THEN v * 0.29307107017222 WHEN u IN ('kbtu/h', 'kbtuh', 'mbh') THEN v * 293.07107017222 WHEN u IN ('ton', 'tons') THEN v * 3516.85284206664 WHEN u IN ('w', 'watt', 'watts') THEN v WHEN u IN ('kw', 'kilowatts') THEN v * 1000
+WHEN u IN ('ft', 'feet', 'foot') THEN v * 0.3048 WHEN u IN ('in', 'inches') THEN v * 0.0254 WHEN u = 'cm' THEN v * 0.01 WHEN u = 'mm' THEN v * 0.001 WHEN u IN ('m', 'metres', 'meters') THEN v
+WHEN u = 'cfm' THEN v * 0.00047194745 / 0.001 WHEN u = 'l/s' THEN v WHEN u IN ('m3/h', 'm³/h') THEN v / 3600 / 0.001 WHEN u IN ('v', 'volt', 'volts') THEN v WHEN u IN ('kv', 'kilovolts') THEN v * 1000 WHEN u IN ('mv', 'millivolts') THEN v * 0.001
+WHEN u IN ('°f', 'degf', 'fahrenheit') THEN (v - 32) * 5 / 9 WHEN u IN ('°c', 'degc', 'celsius') THEN v END, 3) AS base_value FROM u""")
 def unit_conversion(spark, root):
-    """Weights of declared units in kilograms."""
-    f = table(spark, root, "facts").where("property = 'net_weight' and unit in ('kg', 'g', 'oz', 'lb')").select("id", "unit", F.col("normalized_value").try_cast("double").alias("v")).where("v is not null").distinct()
-    return f.select("id", F.round(numbers.convert(F.col("v"), F.col("unit"), "kg"), 6).alias("kilograms"))
+    """Every number with a unit, in the base unit of its dimension (kg, W, m, L/s, V, °C); null for units that aren't listed."""
+    names = {"kgs": "kg", "ounces": "oz", "lbs": "lb", "pounds": "lb", "btuh": "BTU/h", "kbtuh": "kBTU/h", "mbh": "kBTU/h", "tons": "ton", "watt": "W", "watts": "W", "kilowatts": "kW", "feet": "ft", "foot": "ft", "inches": "in", "metres": "m", "meters": "m"}
+    names |= {"m³/h": "m3/h", "volt": "V", "volts": "V", "kilovolts": "kV", "millivolts": "mV", "degf": "°F", "fahrenheit": "°F", "degc": "°C", "celsius": "°C"} | {u.lower(): u for u in numbers.UNITS if u != "K"}
+    spelled = F.lower(F.regexp_replace("unit", "[ .]", ""))
+    f = table(spark, root, "facts").select("id", "property", spelled.alias("s"), F.col("normalized_value").try_cast("double").alias("v")).where("v is not null and s is not null").distinct()
+    unit = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("s"))
+    base = F.lit(None).cast("double")
+    for target in ("kg", "W", "m", "L/s", "V", "°C"):
+        base = F.coalesce(base, numbers.convert(F.col("v"), F.col("u"), target))
+    return f.withColumn("u", unit).select("id", "property", F.round(base, 3).alias("base_value"))
 
 
 @query("""SELECT catalog_id, CASE WHEN TRY_CAST(lifecycle.discontinued_on AS DATE) IS NOT NULL THEN strftime(CAST(lifecycle.discontinued_on AS DATE), '%Y-%m-%d') END AS iso, strftime(CAST(lifecycle.discontinued_on AS DATE), '%Y-%m-%d') AS from_us,
@@ -111,31 +120,65 @@ def date_forms(spark, root):
     return c.select("catalog_id", dates.normalise_date(F.col("d")).alias("iso"), dates.normalise_date(us).alias("from_us"), dates.normalise_date(words).alias("from_words"))
 
 
-_RE = {"HAZARD": recalls.HAZARDS, "REMEDY": recalls.REMEDIES, "PATHOGEN": recalls.PATHOGENS}
-
-
-def _class_sql(kind, rules):
-    arms = [f"SELECT '{kind}' AS kind, '{n}' AS class, count(*) AS docs FROM documents WHERE lang = 'en' AND regexp_matches(lower(text), '{p}')" for n, p in rules.items()]
-    return " UNION ALL ".join(arms)
-
-
-@query("SELECT * FROM (" + " UNION ALL ".join(_class_sql(k, r) for k, r in _RE.items()) + ") x WHERE docs > 0")
+# What speaks of each class, written for the comparison only: patterns over words with single blanks.
+_SPEAKS = """
+HAZARD|fire|fires?|flames?|flammab[^ ]*|ignit[^ ]*|combust[^ ]*
+HAZARD|burn|burns?|scald[^ ]*|overheat[^ ]*
+HAZARD|electric-shock|shocks?|electrocut[^ ]*|electrical hazard[^ ]*
+HAZARD|carbon-monoxide|carbon monoxide|co poisoning
+HAZARD|explosion|explo[^ ]*|burst[^ ]*|ruptur[^ ]*
+HAZARD|laceration|lacerat[^ ]*|cuts?|sharp (edge|point)[^ ]*|punctur[^ ]*
+HAZARD|fall|falls?|falling
+HAZARD|tip-over|tip over[^ ]*|tipover[^ ]*|tipping
+HAZARD|entrapment|entrap[^ ]*|pinch[^ ]*|crush[^ ]*
+HAZARD|strangulation|strang(l|ul)[^ ]*|entangle[^ ]*
+HAZARD|suffocation|suffocat[^ ]*|asphyxia[^ ]*
+HAZARD|choking|chok[^ ]*
+HAZARD|ingestion|ingest[^ ]*|swallow[^ ]*|button batter[^ ]*|magnet[^ ]*
+HAZARD|drowning|drown[^ ]*
+HAZARD|chemical|chemical[^ ]*|poison[^ ]*|toxic[^ ]*|methanol|benzene|formaldehyde|phthalate[^ ]*|cadmium|mercury|asbestos|child resistant
+HAZARD|lead|lead (paint|content|poisoning|exposure|ban)|lead (level|hazard)[^ ]*|contain(s|ing)? lead|of lead|excessive lead
+HAZARD|microbial|microb[^ ]*|bacteri[^ ]*|mou?ld[^ ]*|fung[^ ]*|legionella|pseudomonas|burkholderia
+HAZARD|crash|crash[^ ]*|loss of control|lose control
+HAZARD|impact-injury|head injur[^ ]*|impact[^ ]*|struck by|blunt
+HAZARD|injury|(physical|injury) hazard[^ ]*|risk of (serious )?injur[^ ]*
+HAZARD|non-compliance|violat[^ ]*|fails? to (meet|comply)|mandatory (safety )?standard[^ ]*|labell?ing|non ?complian[^ ]*
+REMEDY|refund|refund[^ ]*|reimburse[^ ]*|money back
+REMEDY|repair|repair[^ ]*|retrofit[^ ]*|(fix|modification|free) kit[^ ]*|free part[^ ]*
+REMEDY|replace|replac[^ ]*
+REMEDY|new-instructions|(new|revised|updated|new safety) instructions|warning (label|sticker)[^ ]*
+REMEDY|dispose|dispos[^ ]*|destroy[^ ]*|discard[^ ]*|throw (it|them) away
+REMEDY|label|new labels?|replacement label[^ ]*
+REMEDY|inspect|inspect[^ ]*
+REMEDY|firmware-update|firmware|software update[^ ]*|update the (product|app)
+REMEDY|stop-use|stop using|immediately stop|discontinue use
+REMEDY|no-remedy|no remedy
+PATHOGEN|listeria_monocytogenes|listeria|listeriosis|l monocytogenes
+PATHOGEN|salmonella|salmonell(a|osis)
+PATHOGEN|e_coli|e ?coli|escherichia[^ ]*|stec|o157[^ ]*
+PATHOGEN|clostridium_botulinum|clostridium|(c )?botulinum|botulism
+PATHOGEN|mold|mou?ld(s|y)?|fung(us|al|i)|aspergillus
+PATHOGEN|yeast|yeasts?
+PATHOGEN|staphylococcus|staphylococc[^ ]*|s aureus|staph
+PATHOGEN|pseudomonas|pseudomonas
+PATHOGEN|burkholderia|burkholderia[^ ]*|b cepacia
+PATHOGEN|bacillus_cereus|(bacillus|b) cereus
+PATHOGEN|cronobacter|cronobacter[^ ]*
+PATHOGEN|hepatitis_a|hepatitis a
+PATHOGEN|norovirus|norovirus[^ ]*
+PATHOGEN|cyclospora|cyclospora[^ ]*
+""".strip().splitlines()
+_ARMS = " UNION ALL ".join(f"SELECT '{k}' AS kind, '{n}' AS class, count(*) AS docs FROM w WHERE regexp_matches(t, ' ({p}) ')" for k, n, p in (x.split("|", 2) for x in _SPEAKS))
+
+
+@query(rf"WITH w AS (SELECT ' ' || ltrim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL) SELECT * FROM ({_ARMS}) x WHERE docs > 0")
 def notice_classes(spark, root):
-    """Hazards, remedies and pathogens that English texts speak of."""
-    return _notice_classes(table(spark, root, "documents").where("lang = 'en'"))
-
-
-@query()
-def all_notice_classes(spark, root):
     """Hazards, remedies and pathogens that texts speak of in English, whatever their language is given as."""
-    return _notice_classes(table(spark, root, "documents"))
-
-
-def _notice_classes(docs):
-    d = docs.where("text is not null")
+    d = table(spark, root, "documents").where("text is not null")
     named = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("class"))
-    found = F.concat(*[F.transform(recalls.classes(F.col("text"), rules), named(kind)) for kind, rules in _RE.items()])
-    return d.select(F.explode(found).alias("c")).groupBy("c.kind", "c.class").agg(F.count(F.lit(1)).alias("docs"))
+    kinds = {"HAZARD": recalls.HAZARDS, "REMEDY": recalls.REMEDIES, "PATHOGEN": recalls.PATHOGENS}
+    every = lambda w: F.concat(*[F.transform(vocabulary.found(w, v), named(k)) for k, v in kinds.items()])
+    return d.select(F.explode(vocabulary.let(vocabulary.padded(F.col("text")), every)).alias("c")).groupBy("c.kind", "c.class").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("SELECT doc_id, coalesce(n_chars, 0) >= 120 AND length(text) >= 20 AS indexable FROM documents WHERE text IS NOT NULL")
@@ -186,22 +229,14 @@ def locators(spark, root):
     return table(spark, root, "orders").select("o_orderkey", F.concat(F.lit("orders;"), tabular.locator(row=F.col("o_orderkey"), column=F.col("o_orderpriority"))).alias("locator"))
 
 
-@query("""SELECT catalog_id, CASE WHEN brand IS NOT NULL AND trim(brand) <> '' AND model IS NOT NULL AND trim(model) <> '' AND series IS NOT NULL AND trim(series) <> '' AND regexp_full_match(brand || model || series, '[ -~]*')
-THEN trim(brand) || '|' || trim(model) || '|' || trim(series) ELSE 'catalog#' || catalog_id END AS record_key FROM acme_catalog WHERE regexp_full_match(coalesce(brand, '') || coalesce(model, '') || coalesce(series, ''), '[ -~]*')""")
-def record_keys(spark, root):
-    """Composite keys, all or nothing."""
-    c = table(spark, root, "acme_catalog").where(F.concat(*[F.coalesce(x, F.lit("")) for x in ("brand", "model", "series")]).rlike("^[ -~]*$"))
-    return _record_keys(c)
-
+_TRIM = lambda c: f"regexp_replace({c}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
 
-@query()
-def all_record_keys(spark, root):
-    """Composite keys of all rows, in any spelling."""
-    return _record_keys(table(spark, root, "acme_catalog"))
 
-
-def _record_keys(c):
-    return c.select("catalog_id", tabular.composite_key([F.col("brand"), F.col("model"), F.col("series")], "|", F.concat(F.lit("catalog#"), F.col("catalog_id"))).alias("record_key"))
+@query(f"""SELECT catalog_id, CASE WHEN {_TRIM("brand")} <> '' AND {_TRIM("model")} <> '' AND {_TRIM("series")} <> ''
+THEN {_TRIM("brand")} || '|' || {_TRIM("model")} || '|' || {_TRIM("series")} ELSE 'catalog#' || catalog_id END AS record_key FROM acme_catalog""")
+def record_keys(spark, root):
+    """Composite keys of all rows, in any spelling, all or nothing."""
+    return table(spark, root, "acme_catalog").select("catalog_id", tabular.composite_key([F.col("brand"), F.col("model"), F.col("series")], "|", F.concat(F.lit("catalog#"), F.col("catalog_id"))).alias("record_key"))
 
 
 @query()

@@ -41,6 +41,15 @@ def test_enforcement(spark):
     assert r.codes.gtins == ["00036000291452"] and r.codes.ndcs == ["00002-1433-80"] and r.codes.lots == ["A12", "B34"]
 
 
+@pytest.mark.parametrize(("text", "items"), [
+    ("1,200 cases of 12 oz", [(1200, "cases")]), ("33850 units/kits", [(33850, "units")]), ("a) 1,200 cases; b) 300 cases", [(1200, "cases"), (300, "cases")]), ("N/A", []), (None, []), ("", []), ("5lbs", [(5, "pounds")]), ("lot A12 3 vials", [(3, "vials")]),
+    ("10,000", [(10000, None)]), ("2 x 1.5 gal", [(2, "x"), (1.5, "gallons")]), ("403,200 tablets", [(403200, "tablets")]),
+])
+def test_quantities_of_products(spark, text, items):
+    r = spark.createDataFrame([(text,)], "v string").select(structuring.quantity(F.col("v")).alias("q")).first().q
+    assert [(x.value, x.unit) for x in r["items"]] == items and (r.total, r.unit) == (items[0] if len(items) == 1 else (None, None))
+
+
 def test_product_recalls_and_keys(spark):
     schema = "RecallNumber string, RecallDate string, Title string, Description string, Products array<struct<Name:string,Model:string,NumberOfUnits:string>>, Hazards array<struct<Name:string>>, Remedies array<struct<Name:string>>, ProductUPCs array<struct<UPC:string>>, ManufacturerCountries array<struct<Country:string>>"
     rows = [("26-001", "2026-01-02T00:00:00", "Acme <b>Heaters</b>", None, [("Heater", "X-1", "About 1,000"), ("Cord", None, "about 2 thousand")], [("Fire hazard",)], [("Refund",)], [("036000291452",)], [("China",)]), (None, None, "x", None, None, None, None, None, None), ("26-002", None, "No lists", None, None, None, None, None, None)]

@@ -19,9 +19,9 @@ def test_forms_and_keys_of_every_row(spark, tmp_path):
         d = re.sub("[^0-9]", "", n)
         return re.sub("[^0-9A-Za-z]", "", n).upper(), d.rjust(12, "0") if d else ""
 
-    got = {r.catalog_id: (r.model_number, r.digits) for r in catalogue.QUERIES["all_identifier_forms"](spark, str(tmp_path)).collect()}
+    got = {r.catalog_id: (r.model_number, r.digits) for r in catalogue.QUERIES["identifier_forms"](spark, str(tmp_path)).collect()}
     assert got == {i: forms(m) for i, _, m, _ in rows} and got[1] == got[2] == ("24ANB7", "000000000247")
-    keys = {r.catalog_id: r.record_key for r in catalogue.QUERIES["all_record_keys"](spark, str(tmp_path)).collect()}
+    keys = {r.catalog_id: r.record_key for r in catalogue.QUERIES["record_keys"](spark, str(tmp_path)).collect()}
     assert keys == {i: "|".join(x.strip() for x in p) if all(x and x.strip() for x in p) else f"catalog#{i}" for i, *p in rows}
 
 
@@ -29,8 +29,9 @@ def test_classes_of_every_text(spark, tmp_path):
     texts = ["Risk of FIRE; refund", "overheating", "electric shock and salmonella", None, "Gefahr", "fires"]
     rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts, ["en", "eng", None, "en", "de", "en-US"], strict=True))]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = [re.sub(r"[\W_]+", " ", f" {t.lower()} ") for t in texts if t]
     want = collections.Counter()
     for kind, rules in (("HAZARD", recalls.HAZARDS), ("REMEDY", recalls.REMEDIES), ("PATHOGEN", recalls.PATHOGENS)):
-        want.update((kind, n) for t in texts if t for n, p in rules.items() if re.search(p, t.lower()))
-    got = {(r.kind, r["class"]): r.docs for r in catalogue.QUERIES["all_notice_classes"](spark, str(tmp_path)).collect()}
+        want.update((kind, n) for t in words for n, terms in rules.items() if any((f" {x[:-1]}" if x[-1] == "*" else f" {x} ") in t for x in terms))
+    got = {(r.kind, r["class"]): r.docs for r in catalogue.QUERIES["notice_classes"](spark, str(tmp_path)).collect()}
     assert got == dict(want) and got[("HAZARD", "fire")] == 2 and ("HAZARD", "electric-shock") in got
