@@ -147,9 +147,14 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+MAX_TOKENS = 12
+
+
 def contains_all(document: Column, query_tokens: list[str]) -> Column:
-    """Whether every token of a query (at most 12 count) occurs in the document."""
-    wanted = list(dict.fromkeys(t.lower() for t in query_tokens))[:12]
+    """Whether every token of a query occurs in the document; more than ``MAX_TOKENS`` different ones are refused, not cut."""
+    wanted = list(dict.fromkeys(t.lower() for t in query_tokens))
+    if len(wanted) > MAX_TOKENS:
+        raise ValueError(f"at most {MAX_TOKENS} words, got {len(wanted)}")
     return F.forall(F.array(*[F.lit(t) for t in wanted]), lambda t: F.array_contains(tokens(document), t))
 
 

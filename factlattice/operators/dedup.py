@@ -17,7 +17,8 @@ from factlattice.functions.ids import HEX32, bare_hex
 
 ROUNDS = 4
 QUOTIENT_BITS = 12
-_ORDER_BASE = 10**19  # above any BIGINT
+_ORDER_BASE = 10**20  # above any BIGINT moved to start at 0
+_LEAST = 2**63
 
 
 def _long(hex16: Column) -> Column:
@@ -55,7 +56,7 @@ KEY = ["_kind", "_quotient", "_rem_hi", "_rem_lo", "_rem_text"]
 def _order(at: Column, delivery_id: Column) -> Column:
     """Earliest delivery first, then smallest id, as one number that a hash aggregate can keep in place; null times come last."""
     micros = F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(253402300800000000)) + F.lit(62135596800000000)
-    return (micros.cast("decimal(18,0)") * F.lit(str(_ORDER_BASE)).cast("decimal(20,0)")).cast("decimal(38,0)") + delivery_id.cast("decimal(19,0)")
+    return (micros.cast("decimal(18,0)") * F.lit(str(_ORDER_BASE)).cast("decimal(21,0)")).cast("decimal(38,0)") + (delivery_id.cast("decimal(20,0)") + F.lit(str(_LEAST)).cast("decimal(20,0)"))
 
 
 def first_copies(deliveries: DataFrame, id_col="id", message_col="message_id", at_col="delivered_at", key_col="delivery_id") -> DataFrame:
@@ -67,7 +68,8 @@ def first_copies(deliveries: DataFrame, id_col="id", message_col="message_id", a
     d = deliveries.where(F.col(key_col).isNotNull()).select(F.col(key_col).alias("_d"), F.col(at_col).alias("_at"), *quotient_key(F.col(id_col), F.col(message_col)))
     known = d.where(F.col("_kind").isNotNull())
     kept = known.groupBy(*KEY).agg(F.min(_order(F.col("_at"), F.col("_d"))).alias("_o"))
-    first = kept.select((F.col("_o") % F.lit(str(_ORDER_BASE)).cast("decimal(20,0)")).cast("bigint").alias(key_col))
+    moved = (F.col("_o") % F.lit(str(_ORDER_BASE)).cast("decimal(21,0)")).cast("decimal(21,0)") - F.lit(str(_LEAST)).cast("decimal(20,0)")
+    first = kept.select(moved.cast("bigint").alias(key_col))
     return first.unionByName(d.where(F.col("_kind").isNull()).select(F.col("_d").alias(key_col)).distinct())
 
 

@@ -22,17 +22,19 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "both"
     frontier = seen
     for hop in range(1, depth + 1):
         reached = frontier.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        frontier = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier = cut(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
 
 
-def resolve_chains(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def resolve_chains(links: DataFrame) -> DataFrame:
     """(src, target, hops, cycle): where following ``links(src, dst)``, one for each src, ends. Pointer doubling: a chain of n links
-    takes log2(n) rounds. A chain that runs into a cycle has no target."""
+    takes log2(n) rounds, so the loop ends by itself: only cycles go on beyond the number of links. A chain that runs into a cycle
+    has no target. Null ends are left out; empty input gives no rows."""
+    links = links.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     p = cut(links.groupBy("src").agg(F.min("dst").alias("dst")).select("src", "dst", F.lit(1).cast("bigint").alias("hops")))
     total = p.count()
-    for _ in range(max_rounds):
+    while True:
         n = p.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("hops").alias("_h"))
         j = p.join(n, p["dst"] == n["_s"], "left")
         p2 = cut(j.select("src", F.coalesce("_d", "dst").alias("dst"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_s").isNotNull().alias("_more")))

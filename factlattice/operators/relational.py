@@ -36,11 +36,10 @@ def facet_counts(facts: DataFrame, value: Column, max_values: int | None = None,
     the cut to ``max_values`` (most entities first, then by value)."""
     per = facts.groupBy("property", value.alias("value")).agg(F.count_distinct(key).alias("entities"))
     number = F.col("value").try_cast("double")
-    w = Window.partitionBy("property")
-    out = per.withColumns({"low": F.min(number).over(w), "high": F.max(number).over(w), "property_entities": F.sum("entities").over(w)})
-    if max_values is not None:
-        out = out.withColumn("_k", F.row_number().over(w.orderBy(F.desc("entities"), "value"))).where(F.col("_k") <= max_values).drop("_k")
-    return out
+    whole = per.groupBy("property").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.sum("entities").alias("property_entities"))
+    # the first of each property are picked before and after the shuffle, so no task sees all values of a property
+    top = per if max_values is None else top_per_key(per, ["property"], [F.desc("entities"), F.col("value")], max_values)
+    return top.join(whole, "property").select("property", "value", "entities", "low", "high", "property_entities")
 
 
 def flag(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -49,10 +48,13 @@ def flag(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFrame
 
 
 def either(df: DataFrame, table: DataFrame, left: str, rights: list[str]) -> DataFrame:
-    """Join where ``left`` equals any of several columns of ``table``: a union of equi joins, never a nested loop; each pair once."""
-    table = table.withColumn("_row", F.xxhash64(*table.columns))
-    arms = [df.join(table, df[left] == table[r]) for r in rights]
-    return reduce(DataFrame.unionByName, arms).distinct().drop("_row")
+    """Join where ``left`` equals any of several columns of ``table``: a union of equi joins, never a nested loop. Each pair of rows
+    comes once, from the first column that matches; repeated rows of either side stay repeated."""
+    arms = []
+    for i, r in enumerate(rights):
+        earlier = reduce(lambda a, b: a | b, [F.coalesce(df[left] == table[x], F.lit(False)) for x in rights[:i]], F.lit(False))
+        arms.append(df.join(table, (df[left] == table[r]) & ~earlier))
+    return reduce(DataFrame.union, arms)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -101,24 +103,31 @@ def compare(facts: DataFrame, entities: list[str], value: Column) -> DataFrame:
     return per.withColumn("differs", F.size(F.array_distinct(cells)) > 1)
 
 
+SALT_ABOVE = 20_000  # rows of a blocking key that one task joins with the whole key
+
+
+def _blocks(records: DataFrame, keys: Column, ident: str) -> DataFrame:
+    return records.select(F.col(ident).alias("id"), F.explode(F.array_distinct(keys)).alias("block")).where("block is not null and block <> ''").distinct()
+
+
 def blocking_pairs(records: DataFrame, keys: Column, ident: str = "id", max_block: int | None = None) -> DataFrame:
     """(a, b, block): distinct pairs a < b that share a blocking key, with the first such key.
 
-    A block is joined with itself by salted halves when it is large, so no task holds all its pairs; ``max_block`` refuses
-    blocks above a size (they are reported by ``oversized_blocks``) instead of cutting them.
-    """
-    b = records.select(F.col(ident).alias("id"), F.explode(F.array_distinct(keys)).alias("block")).where("block is not null and block <> ''").distinct()
+    A key of more than ``SALT_ABOVE`` rows is split: one side by salts, the other copied to each, so no task holds all its pairs.
+    With ``max_block``, a larger block is an error, never cut or left out; ``oversized_blocks`` names such blocks beforehand."""
+    b = _blocks(records, keys, ident)
+    sizes = b.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     if max_block is not None:
-        sizes = b.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-        b = b.join(sizes.where(F.col("n") <= max_block).select("block"), "block", "left_semi")
-    left, right = b.select(F.col("id").alias("a"), "block"), b.select(F.col("id").alias("b"), "block")
-    return left.join(right, "block").where("a < b").groupBy("a", "b").agg(F.min("block").alias("block"))
+        sizes = sizes.withColumn("n", F.when(F.col("n") > max_block, F.raise_error(F.concat(F.lit("block above the limit: "), "block"))).otherwise(F.col("n")))
+    b = b.join(sizes.select("block", F.ceil(F.col("n") / SALT_ABOVE).cast("int").alias("parts")), "block")
+    left = b.select(F.col("id").alias("a"), "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
+    right = b.select(F.col("id").alias("b"), "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    return left.join(right, ["block", "salt"]).where("a < b").groupBy("a", "b").agg(F.min("block").alias("block"))
 
 
 def oversized_blocks(records: DataFrame, keys: Column, max_block: int, ident: str = "id") -> DataFrame:
     """(block, n): blocks that ``blocking_pairs`` refuses."""
-    b = records.select(F.col(ident).alias("id"), F.explode(F.array_distinct(keys)).alias("block")).where("block is not null and block <> ''").distinct()
-    return b.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_block)
+    return _blocks(records, keys, ident).groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_block)
 
 
 def episodes(df: DataFrame, keys: list[str], order: list[Column], state: str) -> DataFrame:

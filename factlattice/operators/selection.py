@@ -1,12 +1,13 @@
 """One canonical claim for each entity and property: a cascade of criteria applied to survivors, with the reason.
 
-Not one sort: a criterion that nobody meets is skipped, and corroboration counts sources among those left by then. All steps
-share one partitioning by (entity, property), so the plan has one exchange for the whole cascade.
+Not one sort: a criterion that nobody meets is skipped, and corroboration counts sources among those left by then. The first three
+criteria are one lexicographic maximum; corroboration and consistency work on counts by value and source. All of it is hash
+aggregation with partial results, so a hot field is reduced before each shuffle and no task holds all claims of one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,25 +19,29 @@ def cascade(claims: DataFrame, consistent: Column, keys: tuple[str, str] = ("ent
     for the same value; consistent values, if any; least claim id. Entities without an eligible claim have no row.
     """
     k = list(keys)
-    w, wv = Window.partitionBy(*k), Window.partitionBy(*k, "value")
-    c = claims.where(F.coalesce("eligible", F.lit(False)))
-    c = c.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_alive", F.lit(True)).withColumn("_rule", F.when(F.col("_n") == 1, "SOLE_ELIGIBLE_CANDIDATE"))
-    c = c.withColumn("_values", F.size(F.collect_set("value").over(w)))
-
-    def keep(df: DataFrame, name: str, score: Column) -> DataFrame:
-        """Only the best alive stay; a null score is lowest, and where all are null everyone stays."""
-        df = df.withColumn("_s", F.when(F.col("_alive"), score)).withColumn("_best", F.max("_s").over(w))
-        df = df.withColumn("_alive", F.col("_alive") & (F.col("_best").isNull() | F.coalesce(F.col("_s") == F.col("_best"), F.lit(False))))
-        left = F.sum(F.col("_alive").cast("int")).over(w)
-        return df.withColumn("_rule", F.when(F.col("_rule").isNotNull(), F.col("_rule")).when(left == 1, name))
-
-    c = keep(c, "AUTHORITY", F.col("authority"))
-    c = keep(c, "RELIABILITY", F.col("reliability"))
-    c = keep(c, "RECENCY", F.unix_micros(F.col("observed").cast("timestamp")))
-    c = c.withColumn("_sources", F.size(F.collect_set(F.when(F.col("_alive"), F.col("source"))).over(wv)))
-    c = keep(c, "CORROBORATION", F.col("_sources"))
-    c = keep(c, "CONSISTENCY", F.when(consistent, 1))
-    won = c.where("_alive").groupBy(*k).agg(
-        F.min("claim").alias("claim"), F.min_by("value", "claim").alias("value"), F.coalesce(F.min("_rule"), F.lit("TIEBREAK")).alias("rule"), F.first("_n").alias("candidates"), (F.first("_values") - 1).alias("conflicts")
+    rank = F.struct("authority", "reliability", F.unix_micros(F.col("observed").cast("timestamp")).alias("observed"))  # a null is lowest
+    ok = F.coalesce(consistent, F.lit(False))
+    c = claims.where(F.coalesce("eligible", F.lit(False))).select(*k, "claim", "value", "source", rank.alias("_rank"), ok.alias("_ok"))
+    alike = c.groupBy(*k, "value", "source", "_rank").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_ok").alias("_nok"), F.min("claim").alias("_claim"), F.min(F.when(F.col("_ok"), F.col("claim"))).alias("_okclaim"))
+    per_rank = alike.groupBy(*k, "_rank").agg(F.sum("_n").alias("_n"))
+    best = per_rank.groupBy(*k).agg(F.max("_rank").alias("_best"), F.sum("_n").alias("candidates"))
+    values = alike.select(*k, "value").where("value is not null").distinct().groupBy(*k).agg(F.count(F.lit(1)).alias("_values"))
+
+    # how many claims each of the first three steps leaves
+    same = lambda n: F.lit(True) if not n else F.col("_rank.authority").eqNullSafe(F.col("_best.authority")) & (F.lit(True) if n < 2 else F.col("_rank.reliability").eqNullSafe(F.col("_best.reliability"))) & (F.lit(True) if n < 3 else F.col("_rank.observed").eqNullSafe(F.col("_best.observed")))
+    left = per_rank.join(best, k).groupBy(*k).agg(*[F.sum(F.when(same(n), F.col("_n")).otherwise(0)).alias(f"_left{n}") for n in (1, 2, 3)])
+
+    alive = alike.join(best.select(*k, F.col("_best").alias("_rank")), [*k, "_rank"])
+    by_value = alive.groupBy(*k, "value").agg(F.count_distinct("source").alias("_sources"), F.sum("_n").alias("_n"), F.sum("_nok").alias("_nok"), F.min("_claim").alias("_claim"), F.min("_okclaim").alias("_okclaim"))
+    level = by_value.groupBy(*k, "_sources").agg(
+        F.sum("_n").alias("_n"), F.sum("_nok").alias("_nok"), F.min(F.struct("_claim", "value")).alias("_any"), F.min(F.when(F.col("_okclaim").isNotNull(), F.struct(F.col("_okclaim").alias("_claim"), "value"))).alias("_sound"),
     )
-    return won.select(*k, "claim", "value", "rule", F.col("candidates").cast("bigint").alias("candidates"), F.col("conflicts").cast("bigint").alias("conflicts"))
+    top = level.groupBy(*k).agg(F.max(F.struct("_sources", "_n", "_nok", "_any", "_sound")).alias("_t"))
+    won = top.join(left, k).join(best.select(*k, "candidates"), k).join(values, k, "left")
+    pick = F.coalesce("_t._sound", "_t._any")
+    final = F.when(F.col("_t._nok") > 0, F.col("_t._nok")).otherwise(F.col("_t._n"))
+    rule = (
+        F.when(F.col("candidates") == 1, "SOLE_ELIGIBLE_CANDIDATE").when(F.col("_left1") == 1, "AUTHORITY").when(F.col("_left2") == 1, "RELIABILITY").when(F.col("_left3") == 1, "RECENCY")
+        .when(F.col("_t._n") == 1, "CORROBORATION").when(final == 1, "CONSISTENCY").otherwise("TIEBREAK")
+    )
+    return won.select(*k, pick["_claim"].alias("claim"), pick["value"].alias("value"), rule.alias("rule"), F.col("candidates").cast("bigint").alias("candidates"), F.coalesce(F.col("_values") - 1, F.lit(-1)).cast("bigint").alias("conflicts"))

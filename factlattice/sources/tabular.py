@@ -30,16 +30,19 @@ def parse_locator(c: Column) -> Column:
     return F.transform_values(m, lambda k, v: plain(v))
 
 
-def read_csv(spark: SparkSession, path: str, preamble: str | None = None, header: bool | list[str] = True, sep: str = ",", where: tuple[str, list[str]] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A CSV source: all columns as text, blanks trimmed, ``ordinal`` from 1 in file order.
+def read_csv(spark: SparkSession, path: str, preamble: str | None = None, header: bool | list[str] = True, sep: str = ",", where: tuple[str, list[str]] | None = None, columns: list[str] | None = None, line_breaks: bool = True) -> DataFrame:
+    """A CSV source: all columns as text, blanks trimmed, ``ordinal`` 1, 2, 3 ... in file order whatever the number of splits.
 
     ``preamble``: a pattern; the leading lines that match it are skipped, later ones aren't. ``where``: keep rows whose column has
-    one of the values, without renumbering; an unknown column is an error. ``columns`` projects by name. Without a preamble the
-    built-in reader splits large files; with one, lines are read as text and parsed with the same rules (no line breaks in cells).
+    one of the values, without renumbering; an unknown column is an error. ``columns`` projects by name. Cells may hold
+    line breaks, which makes each file one task; ``line_breaks`` False says that none does, and large files are split. With a preamble,
+    lines are read as text and parsed with the same rules (no line breaks in cells).
     """
+    from factlattice.operators.ordering import running
+
     if preamble is None and header is True:
-        df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-        df = df.withColumn("ordinal", F.monotonically_increasing_id() + 1) if df.rdd.getNumPartitions() == 1 else df.withColumn("ordinal", F.monotonically_increasing_id())
+        df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
+        df = running(df.withColumn("_line", F.monotonically_increasing_id()), ["_line"]).withColumn("ordinal", F.col("rank") + 1).drop("rank", "_line")
     else:
         lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("line"))
         if preamble is not None:
@@ -56,8 +59,6 @@ def read_csv(spark: SparkSession, path: str, preamble: str | None = None, header
             lines = lines.where(F.col("line") > head.line)
         schema = ", ".join(f"`{n}` string" for n in names)
         parsed = lines.select("line", F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
-        from factlattice.operators.ordering import running
-
         df = running(parsed, ["line"]).select("r.*", (F.col("rank") + 1).alias("ordinal"))
     if where is not None:
         if where[0] not in df.columns:

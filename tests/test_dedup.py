@@ -28,6 +28,12 @@ def test_repeated_row_is_one_delivery_and_null_key_is_left_out(spark):
     assert [r[0] for r in dedup.repeated_copies(frame(spark, rows)).collect()] == [2]
 
 
+def test_any_bigint_and_any_time(spark):
+    rows = [(-5, "m", T0, None), (-(2**63), "m", T0, None), (2**63 - 1, "m", T0, None), (7, "m", datetime(1, 1, 2), None), (8, "m", datetime(9999, 12, 31), None), (9, "m", None, None)]
+    assert {r[0] for r in dedup.repeated_copies(frame(spark, rows)).collect()} == {-5, -(2**63), 2**63 - 1, 8, 9}
+    assert {r[0] for r in dedup.repeated_copies(frame(spark, rows[:3])).collect()} == {-5, 2**63 - 1}
+
+
 def test_empty(spark):
     assert dedup.repeated_copies(frame(spark, [])).count() == 0
 

@@ -77,7 +77,9 @@ def test_joins_and_versions(spark):
     keys = spark.createDataFrame([("model", "A", "e1"), ("model", "B", "e1"), ("upc", "B", "e2")], "kind string, value string, entity_id string")
     assert {x.item: x.outcome for x in resolve.screen(items, keys).collect()} == {"i1": "MATCHED", "i2": "AMBIGUOUS", "i3": "NOT_FOUND", "i4": "NO_CODE"}
     blocks = spark.createDataFrame([(i, ["big" if i < 9 else "s"]) for i in range(11)], "id int, keys array<string>")
-    assert relational.blocking_pairs(blocks, F.col("keys"), max_block=5).count() == 1 and relational.oversized_blocks(blocks, F.col("keys"), 5).first()[:] == ("big", 9)
+    with pytest.raises(Exception, match="above the limit"):
+        relational.blocking_pairs(blocks, F.col("keys"), max_block=5).count()
+    assert relational.blocking_pairs(blocks, F.col("keys"), max_block=9).count() == 37 and relational.oversized_blocks(blocks, F.col("keys"), 5).first()[:] == ("big", 9)
     both = relational.compare(spark.createDataFrame([("e", "p", "1"), ("f", "p", "1"), ("e", "q", "2")], "entity_id string, property string, v string"), ["e", "f"], F.col("v"))
     assert {(x.property, x.differs) for x in both.collect()} == {("p", False), ("q", True)}
 
@@ -91,3 +93,28 @@ def test_long_lineage_is_followed_to_its_end(spark):
     assert graph.bottom_up(d, spark.createDataFrame([(70,)], "node int")).count() == 71
     with pytest.raises(ValueError):
         graph.bottom_up(d, spark.createDataFrame([(70,)], "node int"), max_rounds=3)
+
+
+def test_large_blocks_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(relational, "SALT_ABOVE", 7)
+    blocks = spark.createDataFrame([(i, ["hot"] if i < 30 else ["hot", "s"] if i < 33 else []) for i in range(35)], "id int, keys array<string>")
+    got = relational.blocking_pairs(blocks, F.col("keys")).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for a in range(33) for b in range(a + 1, 33)} and len(got) == 33 * 32 // 2
+
+
+def test_either_keeps_repeated_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "id int, code string")
+    t = spark.createDataFrame([("x", "x", 1), (None, "x", 2)], "name string, display string, n int")
+    assert sorted((r.id, r.n) for r in relational.either(a, t, "code", ["name", "display"]).collect()) == [(1, 1), (1, 1), (1, 2), (1, 2)]
+
+
+def test_a_chain_of_a_hundred_thousand_links(spark):
+    links = spark.range(100_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(None, 5), (7_000_000, None)], "src bigint, dst bigint"))
+    r = graph.resolve_chains(links).where("src in (0, 99999)").collect()
+    assert {(x.src, x.target, x.hops) for x in r} == {(0, 100_000, 100_000), (99_999, 100_000, 1)}
+
+
+def test_facets_without_one_task_for_a_property(spark):
+    f = spark.createDataFrame([("p", str(i % 5), f"e{i}") for i in range(17)] + [("q", "x", "e1")], "property string, value string, entity_id string")
+    got = {(r.property, r.value): (r.entities, r.low, r.high, r.property_entities) for r in relational.facet_counts(f, F.col("value"), 2).collect()}
+    assert got == {("p", "0"): (4, 0.0, 4.0, 17), ("p", "1"): (4, 0.0, 4.0, 17), ("q", "x"): (1, None, None, 1)}

@@ -106,3 +106,20 @@ def test_rates_and_transitions(spark):
     got = usage.rate_gaps(r).orderBy("at").collect()
     assert [(x.in_window, x.gap_s) for x in got] == [(1, None), (2, 10.0), (2, 51.0), (3, 1.0)]
     assert [x.generation for x in usage.transitions(r, "source", "at", "up").orderBy("at").collect()] == [1, 1, 1, 2]
+
+
+def test_csv_ordinals_follow_the_file_in_any_number_of_splits(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"f{n}.csv").write_text("a,b\n" + "".join(f"{n * 50 + i},x{i}\n" for i in range(50)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "120")
+    try:
+        got = [(int(r.a), r.ordinal) for r in tabular.read_csv(spark, str(tmp_path), line_breaks=False).collect()]
+        kept = [(int(r.a), r.ordinal) for r in tabular.read_csv(spark, str(tmp_path), line_breaks=False, where=("b", ["x7"])).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(o for _, o in got) == list(range(1, 151))
+    by_file = {}
+    for a, o in sorted(got, key=lambda x: x[1]):
+        by_file.setdefault(a // 50, []).append(a)
+    assert all(v == sorted(v) for v in by_file.values()) and set(kept) <= set(got) and len(kept) == 3
