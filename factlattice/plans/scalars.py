@@ -177,8 +177,8 @@ def notice_classes(spark, root):
     d = table(spark, root, "documents").where("text is not null")
     named = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("class"))
     kinds = {"HAZARD": recalls.HAZARDS, "REMEDY": recalls.REMEDIES, "PATHOGEN": recalls.PATHOGENS}
-    every = lambda w: F.concat(*[F.transform(vocabulary.found(w, v), named(k)) for k, v in kinds.items()])
-    return d.select(F.explode(vocabulary.let(vocabulary.padded(F.col("text")), every)).alias("c")).groupBy("c.kind", "c.class").agg(F.count(F.lit(1)).alias("docs"))
+    hit = d.select(vocabulary.hits(vocabulary.padded(F.col("text")), kinds).alias("h"))
+    return hit.select(F.explode(F.concat(*[F.transform(vocabulary.pick(F.col("h"), k, v), named(k)) for k, v in kinds.items()])).alias("c")).groupBy("c.kind", "c.class").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("SELECT doc_id, coalesce(n_chars, 0) >= 120 AND length(text) >= 20 AS indexable FROM documents WHERE text IS NOT NULL")
@@ -243,7 +243,7 @@ def record_keys(spark, root):
 def notice_records(spark, root):
     """Every document's structured record: reasons, hazards, remedies, geography, codes."""
     d = spread(table(spark, root, "documents").select("doc_id", "text"))
-    return d.select("doc_id", recalls.structure_notice(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return recalls.structured(d).select("doc_id", "r.*")
 
 
 @query()
