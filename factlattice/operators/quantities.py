@@ -3,10 +3,12 @@
 Three sources of the unit, in this order: a unit inside the value, the unit column (or a statement that holds for a whole
 feed), and, where none is named or the named one can't be true, the size. For the last, the values of a quantity are a mixture
 on the log scale: one density of true values, shifted by the known conversion factor of each unit. The density is taken from
-the values whose unit is named; the weights of the units are fitted by expectation maximisation over the values without one.
-Each such value gets the unit of the greatest posterior, and is flagged as uncertain where that is below ``SURE``.
+the values whose unit is named; the weights of the units are fitted by expectation maximisation over the values without one, first
+for all sources together, then for each source (a feed) by its own values on top of ``SOURCE_PRIOR`` values' worth of the common
+weights. Each such value has a posterior for its unit, and is uncertain where that is below ``SURE`` or can't be told.
 
-What is fitted is tiny: counts of log-values in bins of fixed width, a few hundred numbers whatever the number of rows.
+The common fit is tiny: counts of log-values in bins of fixed width, a few hundred numbers whatever the number of rows. What
+depends on the source stays distributed.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ BIN = 0.02  # decades
 KERNEL = 0.1  # decades, smoothing of the density of true values
 SURE = 0.9
 EM_ROUNDS = 25
+SOURCE_PRIOR = 20.0
 
 
 @dataclass(frozen=True)
@@ -181,72 +184,99 @@ def resolve_units(df: DataFrame) -> DataFrame:
     return df.withColumn("_mixed", mixed).withColumn("_unit", F.when(mixed, F.col("_u_in")).when(fits(named), named))
 
 
-def _fit(q: Quantity, named: dict[int, int], free: dict[int, int]) -> dict[int, tuple[str, float]]:
-    """Unit and posterior of each bin of values without a unit: an EM for the units' weights, with one shared density."""
-    lo, hi = math.log10(q.low), math.log10(q.high)
-    first, last = math.floor(lo / BIN), math.ceil(hi / BIN)
+def _fit(q: Quantity, named: dict[int, int], free: dict[int, int]) -> tuple[dict[str, float], dict[tuple[int, str], float]]:
+    """Weights of the units, and the likelihood of each unit for each bin of values without one: an EM with one shared density.
+
+    A quantity without a range has the range of its named values; without any of these, only the common unit is possible."""
     width = max(1, round(KERNEL / BIN))
-    density = {}
-    for b in range(first, last + 1):  # every value in the range is possible, the common ones more so
-        density[b] = 1.0 + sum(named.get(b + k, 0) * math.exp(-0.5 * (k / width) ** 2) for k in range(-3 * width, 3 * width + 1))
-    total = sum(density.values())
-    shift = {u: math.log10(f) for u, (f, _) in q.units.items()}
+    if q.low is not None:
+        first, last, floor = math.floor(math.log10(q.low) / BIN), math.ceil(math.log10(q.high) / BIN), 1.0  # every value in the range is possible
+    elif named:
+        first, last, floor = min(named) - 3 * width, max(named) + 3 * width, 0.0
+    else:
+        return {u: float(u == q.common) for u in q.units}, {(b, q.common): 1.0 for b in free}
+    density = {b: floor + sum(named.get(b + k, 0) * math.exp(-0.5 * (k / width) ** 2) for k in range(-3 * width, 3 * width + 1)) for b in range(first, last + 1)}
+    total = sum(density.values()) or 1.0
+    lo, hi = (math.log10(q.low), math.log10(q.high)) if q.low is not None else (-math.inf, math.inf)
 
     def like(u: str, b: int) -> float:
-        x = (b + 0.5) * BIN + shift[u]
+        factor, offset = q.units[u]
+        common = 10 ** ((b + 0.5) * BIN) * factor + offset
+        if common <= 0:
+            return 0.0
+        x = math.log10(common)
         return density.get(math.floor(x / BIN), 0.0) / total if lo <= x + BIN / 2 and x - BIN / 2 <= hi else 0.0
 
+    likes = {(b, u): v for b in free for u in q.units if (v := like(u, b)) > 0}
     weight = {u: (4.0 if u == q.common else 1.0) for u in q.units}  # the column's own unit is expected
     for _ in range(EM_ROUNDS):
         new = {u: (4.0 if u == q.common else 1.0) for u in q.units}
         for b, n in free.items():
-            p = {u: weight[u] * like(u, b) for u in q.units}
+            p = {u: weight[u] * likes.get((b, u), 0.0) for u in q.units}
             if (s := sum(p.values())) > 0:
                 for u in p:
                     new[u] += n * p[u] / s
         weight = new
-    out = {}
-    for b in free:
-        p = {u: weight[u] * like(u, b) for u in q.units}
-        s = sum(p.values())
-        if s > 0:
-            u = max(p, key=lambda x: (p[x], x == q.common))
-            out[b] = (u, p[u] / s)
-    return out
-
-
-def assign_by_size(df: DataFrame) -> DataFrame:
-    """``df`` with ``_unit`` filled from the mixtures, ``_by_size`` and ``_posterior``. Quantities without a known range keep the
-    common unit. Values that fit the range as they stand are of the common unit; no unit is given where nothing fits."""
+    whole = sum(weight.values())
+    return {u: w / whole for u, w in weight.items()}, likes
+
+
+def _by_source(counts: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(_quantity, _source, _bin, _fit, _p, _p_common): the likeliest unit of each bin of a source and its posterior, and that of the
+    common unit. ``counts(_quantity, _source, _bin, n)``, ``fitted(_quantity, _bin, unit, like, weight)``."""
+    near = counts.join(F.broadcast(fitted), ["_quantity", "_bin"])  # a bin has as many rows as units that can be
+    key = ["_quantity", "_source", "_bin"]
+    share = F.col("like") * F.col("weight")
+    part = near.join(near.groupBy(*key).agg(F.sum(share).alias("all")), key).withColumn("r", F.col("n") * share / F.col("all"))
+    own = part.groupBy("_quantity", "_source", "unit").agg(F.sum("r").alias("r"))
+    own = own.select("_quantity", "_source", "unit", "r")
+    p = near.join(own, ["_quantity", "_source", "unit"]).withColumn("p", F.col("like") * (F.col("r") + F.lit(SOURCE_PRIOR) * F.col("weight")))
+    common = common_unit(F.col("_quantity"))
+    best = p.groupBy(*key).agg(F.max(F.struct("p", (F.col("unit") == common).alias("c"), "unit")).alias("b"), F.sum("p").alias("all"), F.sum(F.when(F.col("unit") == common, F.col("p")).otherwise(0.0)).alias("pc"))
+    return best.select(*key, F.col("b.unit").alias("_fit"), (F.col("b.p") / F.col("all")).alias("_p"), (F.col("pc") / F.col("all")).alias("_p_common"))
+
+
+def assign_by_size(df: DataFrame, source: str = "_source") -> DataFrame:
+    """``df`` with ``_unit`` filled from the mixtures, ``_by_size`` and ``_posterior``, that of the unit taken (null where it can't be told).
+
+    Quantities without a known range keep the common unit, and so do values that fit the range as they stand; their posterior
+    says how likely that is. No unit is given where nothing fits. ``source``: the column by which sources are told apart."""
     q, n = F.col("_quantity"), F.col("_number")
-    ranged = [x for x in QUANTITIES.values() if x.low is not None]
+    free = F.col("_unit").isNull() & (n > 0)
+    df = df.withColumn("_bin", F.when(free, F.floor(F.log10(n) / BIN).cast("int")))
     named_bin = F.floor(F.log10(to_common(q, F.col("_unit"), n)) / BIN).cast("int")
-    free = F.col("_unit").isNull() & (n > 0) & q.isin(*[x.name for x in ranged])
-    bins = df.where(q.isin(*[x.name for x in ranged]) & (n > 0)).groupBy(
-        q.alias("q"), free.alias("free"), F.when(free, F.floor(F.log10(n) / BIN).cast("int")).otherwise(named_bin).alias("b")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    got = rows_of(bins, 200_000)  # a double has fewer than 617 decades: at most 31,000 bins for each quantity and kind
+    counts = cut(df.where(n > 0).groupBy(q, F.when(free, F.coalesce(source, F.lit(""))).alias("_source"), free.alias("free"), F.coalesce("_bin", named_bin).alias("_bin")).agg(F.count(F.lit(1)).alias("n")).where("_bin is not null"))
+    got = rows_of(counts.groupBy("_quantity", "free", "_bin").agg(F.sum("n").alias("n")), 500_000)  # a double has fewer than 617 decades: at most 31,000 bins for each quantity and kind
     table = []
-    for x in ranged:
-        named = {r.b: r.n for r in got if r.q == x.name and not r.free and r.b is not None}
-        for b, (u, p) in _fit(x, named, {r.b: r.n for r in got if r.q == x.name and r.free}).items():
-            table.append((x.name, b, u, p))
-    fitted = df.sparkSession.createDataFrame(table, "_quantity string, _bin int, _fit string, _p double")
-    df = df.withColumn("_bin", F.when(F.col("_unit").isNull() & (n > 0), F.floor(F.log10(n) / BIN).cast("int"))).join(F.broadcast(fitted), ["_quantity", "_bin"], "left")
-    base = common_unit(q)
-    plain = F.col("_unit").isNull() & n.isNotNull() & can_be(q, n)
-    sized = F.col("_unit").isNull() & n.isNotNull() & ~can_be(q, n) & can_be(q, to_common(q, F.col("_fit"), n))
+    for x in QUANTITIES.values():
+        named = {r._bin: r.n for r in got if r._quantity == x.name and not r.free}
+        weights, likes = _fit(x, named, {r._bin: r.n for r in got if r._quantity == x.name and r.free})
+        table += [(x.name, b, u, like, weights[u]) for (b, u), like in likes.items()]
+    fitted = df.sparkSession.createDataFrame(table, "_quantity string, _bin int, unit string, like double, weight double")
+    sized = _by_source(counts.where("free").select("_quantity", "_source", "_bin", "n"), fitted)
+    loose = df.where("_bin is not null").withColumn("_s", F.coalesce(source, F.lit(""))).join(sized.withColumnRenamed("_source", "_s"), ["_quantity", "_s", "_bin"], "left").drop("_s")
+    rest = df.where("_bin is null").withColumns({"_fit": F.lit(None).cast("string"), "_p": F.lit(None).cast("double"), "_p_common": F.lit(None).cast("double")})
+    df = rest.unionByName(loose)
+    base, unknown = common_unit(q), F.col("_unit").isNull() & n.isNotNull()
+    plain = unknown & can_be(q, n)
+    fits = unknown & ~can_be(q, n) & can_be(q, to_common(q, F.col("_fit"), n))
     return df.withColumns({
-        "_by_size": F.col("_unit").isNull() & n.isNotNull(), "_posterior": F.when(F.col("_unit").isNull(), F.col("_p")),
-        "_unit": F.when(F.col("_unit").isNotNull(), F.col("_unit")).when(plain, base).when(sized, F.col("_fit")),
-    }).drop("_bin", "_fit", "_p")
+        "_by_size": unknown, "_posterior": F.when(plain, F.col("_p_common")).when(fits, F.col("_p")),
+        "_unit": F.when(F.col("_unit").isNotNull(), F.col("_unit")).when(plain, base).when(fits, F.col("_fit")),
+    }).drop("_bin", "_fit", "_p", "_p_common")
+
+
+def uncertain() -> Column:
+    """Whether the unit was taken by size and isn't sure, or can't be told (on the columns of ``normalised``)."""
+    return F.col("_by_size") & F.coalesce(F.col("_posterior") < SURE, F.lit(True))
 
 
-def normalised(df: DataFrame, value: str, unit: str, quantity: str) -> DataFrame:
+def normalised(df: DataFrame, value: str, unit: str, quantity: str, source: str | None = None) -> DataFrame:
     """``df``, rows of known quantities with a meaningful value only, with ``_unit``, ``_mixed``, ``_by_size``, ``_posterior`` and ``_common``,
     the value in the common unit (null where no number is readable)."""
     known = df.where(F.col(quantity).isin(*QUANTITIES) & is_meaningful(F.col(value)))
-    done = assign_by_size(cut(resolve_units(readings(known, value, unit, quantity))))  # read once, used to fit and to assign
+    known = known.withColumn("_source", F.col(source) if source else F.lit(""))
+    done = assign_by_size(cut(resolve_units(readings(known, value, unit, quantity)))).drop("_source")  # read once, used to fit and to assign
     q = F.col("_quantity")
     extra = F.when(F.col("_mixed"), F.coalesce(to_common(q, F.col("_u_2"), F.col("_second")), F.lit(0.0))).otherwise(F.lit(0.0))
     return done.withColumn("_common", to_common(q, F.col("_unit"), F.col("_number")) + extra)
@@ -260,9 +290,11 @@ def is_foreign() -> Column:
     return F.coalesce(whole | part, F.lit(False))
 
 
-# Statements in feed notes. A clause names the figures it speaks of and their unit; remarks on pallets, slings, packaging or
-# on what is available elsewhere speak of other figures.
-_OTHER_FIGURES = r"(?iU)available|on request|pallet|sling|packag|shipping|limited to|freight|nominal capacities|above \d|about \d|each\b"
+# Statements in feed notes. A clause states the unit of the column if it names the figures and a unit. A unit behind an amount (900 kg)
+# or as the first part of a compound (ton-rated) is that of something else, and so is what may be had elsewhere or on demand.
+_ELSEWHERE = r"(?iU)\b(?:available|request|optional|demand|may|can|verfügbar|erhältlich|anfrage|wahlweise|disponibles?|demande|option|solicitud|pedido|opcional|puede|disponibile|richiesta|disponível|sob consulta)\b"
+_AMOUNT = r"(?U)\d[\d.,'’]*\s*[^\W\d_]+"
+_COMPOUND = r"(?U)\b[^\W\d_]+-(?=[^\W\d_])"
 _SAYS_WEIGHT = r"(?iU)weight|\bwt\b|gewicht|poids|peso|mass|masa"
 _SAYS_CAPACITY = r"(?iU)capacit|capacid|cooling|puissance|potencia|leistung|tonelaje|tonnage|\bsizes?\b|output|\bratings?\b|figures"
 # Unit words in notes, most specific first.
@@ -284,9 +316,10 @@ _NOTE_WEIGHT = (
 def stated_unit(notes: Column, says: str, units: tuple) -> Column:
     """The unit that a feed's notes state for the figures that ``says`` matches; null where they state none."""
     clauses = F.split(F.regexp_replace(notes, r"(?U)([.;,])\s+|(?<=[a-z]) (?=(?:wt|Weights?|Gewichte|Poids|Pesos?|Masses|Net weight)\b)", "\u0001"), "\u0001")
-    about = F.filter(clauses, lambda c: c.rlike(says) & ~c.rlike(_OTHER_FIGURES))
+    about = F.filter(clauses, lambda c: c.rlike(says) & ~c.rlike(_ELSEWHERE))
 
-    def one(c: Column) -> Column:
+    def one(clause: Column) -> Column:
+        c = F.regexp_replace(F.regexp_replace(clause, _AMOUNT, " "), _COMPOUND, " ")
         out = F.lit(None).cast("string")
         for unit, pattern in reversed(units):
             out = F.when(c.rlike(pattern), unit).otherwise(out)
@@ -296,7 +329,7 @@ def stated_unit(notes: Column, says: str, units: tuple) -> Column:
 
 
 def catalog_quantities(catalog: DataFrame) -> DataFrame:
-    """(catalog_id, field, _quantity, value, named): one row for each figure of a catalogue row, with the unit its feed states.
+    """(catalog_id, feed_id, field, _quantity, value, named): one row for each figure of a catalogue row, with the unit its feed states.
 
     A statement in any row's notes holds for the whole feed (``feed_id``); of several, the first by name."""
     own_cap, own_wt = stated_unit(F.col("notes"), _SAYS_CAPACITY, _NOTE_CAPACITY), stated_unit(F.col("notes"), _SAYS_WEIGHT, _NOTE_WEIGHT)
@@ -307,16 +340,16 @@ def catalog_quantities(catalog: DataFrame) -> DataFrame:
         F.struct(F.lit("cooling_capacity_btuh").alias("field"), F.lit("cooling_capacity").alias("_quantity"), F.col("cooling_capacity_btuh").cast("string").alias("value"), F.coalesce("_cap_note", "capacity_unit").alias("named")),
         F.struct(F.lit("net_weight_lb").alias("field"), F.lit("net_weight").alias("_quantity"), F.col("net_weight_lb").cast("string").alias("value"), F.col("_wt_note").alias("named")),
     )
-    return rows.select("catalog_id", F.explode(figures).alias("f")).select("catalog_id", "f.*").where(F.col("value").isNotNull())
+    return rows.select("catalog_id", "feed_id", F.explode(figures).alias("f")).select("catalog_id", "feed_id", "f.*").where(F.col("value").isNotNull())
 
 
 def all_quantities(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every figure of both tables with its common value: record_table, record_id, field and the columns of ``normalised``.
     Repeated rows of a fact are one. Fitted together, so that figures without a unit learn from all named ones."""
     f = facts.where(F.col("property").isin(*QUANTITIES) & F.col("id").isNotNull()).select(
-        F.lit("facts").alias("record_table"), F.col("id").alias("record_id"), F.lit("normalized_value").alias("field"), F.col("property").alias("quantity"), F.col("normalized_value").alias("value"), F.col("unit").alias("named"),
+        F.lit("facts").alias("record_table"), F.col("id").alias("record_id"), F.lit("normalized_value").alias("field"), F.col("property").alias("quantity"), F.col("normalized_value").alias("value"), F.col("unit").alias("named"), F.lit("facts").alias("source"),
     )
     c = catalog_quantities(catalog).select(
-        F.lit("acme_catalog").alias("record_table"), F.col("catalog_id").cast("string").alias("record_id"), "field", F.col("_quantity").alias("quantity"), "value", "named",
+        F.lit("acme_catalog").alias("record_table"), F.col("catalog_id").cast("string").alias("record_id"), "field", F.col("_quantity").alias("quantity"), "value", "named", F.concat(F.lit("feed "), F.coalesce("feed_id", F.lit(""))).alias("source"),
     )
-    return normalised(f.unionByName(c), "value", "named", "quantity")
+    return normalised(f.unionByName(c), "value", "named", "quantity", "source")

@@ -65,5 +65,5 @@ def p1_values(spark: SparkSession, root: str) -> DataFrame:
     q = _quantities(spark, root)
     return q.select(
         "record_table", "record_id", "field", F.col("_quantity").alias("quantity"), F.round("_common", 6).alias("common_value"), quantities.common_unit(F.col("_quantity")).alias("common_unit"),
-        F.col("_unit").alias("recorded_unit"), F.col("_by_size").alias("by_size"), F.coalesce(F.col("_posterior") < quantities.SURE, F.lit(False)).alias("uncertain"),
+        F.col("_unit").alias("recorded_unit"), F.col("_by_size").alias("by_size"), F.round("_posterior", 4).alias("posterior"), quantities.uncertain().alias("uncertain"),
     )

@@ -52,6 +52,31 @@ def test_mixture_learns_units_from_sizes(spark):
     assert all(r["_unit"] == ("g" if r.k == "g" else "oz") and r["_posterior"] > 0.5 for r in got)
 
 
+def test_each_source_has_its_own_weights(spark):
+    # 10 may be tons, thousands of BTU/h or kilowatts; the other figures of its feed tell which
+    rows = [(i, "tons", None, None, 1 + i % 2, None) for i in range(60)] + [(100 + i, "thousands", None, None, 100 + 2 * i, None) for i in range(60)]
+    named = [(f"a{i}", "cooling_capacity", str(round(9000 * 1.016**i)), "BTU/h") for i in range(200)]
+    f, c = frames(spark, named, [*rows, (900, "tons", None, None, 10, None), (901, "thousands", None, None, 10, None)])
+    got = {r.record_id: (r["_unit"], r["_posterior"]) for r in q.all_quantities(f, c).where("record_id in ('0', '100', '900', '901')").collect()}
+    assert got["0"][0] == "ton" and got["0"][1] > 0.99 and got["100"][0] == "kBTU/h" and got["100"][1] > 0.99
+    assert got["900"][0] == "ton" and got["901"][0] == "kBTU/h"
+
+
+def test_what_is_not_known_is_flagged(spark):
+    named = [(f"n{i}", "net_weight", str(90 + i), "lb") for i in range(150)] + [(f"k{i}", "net_weight", str(40 + i), "kg") for i in range(75)] + [(f"f{i}", "airflow", str(400 + i), "CFM") for i in range(100)]
+    loose = [("amb", "net_weight", "100", None), ("sure", "net_weight", "600", None), ("air", "airflow", "450", None), ("odd", "airflow", "7", None), ("neg", "max_ambient", "-5", None), ("alone", "line_length_max", "50", None), ("nothing", "net_weight", "0", None), ("no", "net_weight", '"heavy"', None)]
+    f, c = frames(spark, named + loose)
+    got = {r.record_id: (r["_unit"], r.u) for r in q.all_quantities(f, c).withColumn("u", q.uncertain()).where("record_id not like 'n%0' and not _unit <=> named or record_id in ('amb')").collect()}
+    assert got["sure"] == ("lb", False) and got["air"] == ("CFM", False) and got["odd"] == ("CFM", True) and got["neg"] == ("°F", True) and got["alone"] == ("ft", False)
+    assert got["amb"][0] == "lb" and got["amb"][1] and got["nothing"] == (None, True) and got["no"] == (None, False)
+
+
+def test_notes_that_speak_of_other_figures(spark):
+    notes = ["Net weight of the pallet is 900 kg.", "A ton-rated output stage.", "Weights are available in kg on request.", "Gewichte wahlweise in kg.", "Cooling output 3 tons each."]
+    f, c = frames(spark, [], [(i, f"x{i}", None, n, 36000, 200) for i, n in enumerate(notes)])
+    assert q.all_quantities(f, c).where(q.is_foreign()).count() == 0
+
+
 def test_empty(spark):
     f, c = frames(spark, [])
     assert q.all_quantities(f, c).where(q.is_foreign()).count() == 0
