@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factlattice.plans import core_problems as core
-from factlattice.plans import core_sql, relational, scalars
+from factlattice.plans import core_sql, forms, relational, scalars
 
-QUERIES = {n: getattr(core, n) for n in ("p1_found", "p1_values", "p3_found", "p3_totals", "p4_found", "p4_history", "p5_found")} | relational.query.queries | scalars.query.queries
-SQL = core_sql.SQL | relational.query.sql | scalars.query.sql
+QUERIES = {n: getattr(core, n) for n in ("p1_found", "p1_values", "p3_found", "p3_totals", "p4_found", "p4_history", "p5_found")} | relational.query.queries | scalars.query.queries | forms.query.queries
+SQL = core_sql.SQL | relational.query.sql | scalars.query.sql | forms.query.sql
