@@ -174,16 +174,16 @@ def vocabulary_terms(spark, root):
     return n.select("id", F.when(_c("failure").isNull(), _c("value")).alias("term"))
 
 
-@query("""SELECT o_orderkey, 'Supplier ' || o_custkey AS firm, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey * 1000 ELSE o_custkey END AS units_us, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS units_canada, CASE WHEN o_orderkey % 5 = 0 THEN 'FL,GA' ELSE 'TX' END AS states,
-o_orderkey % 7 = 0 AS nationwide, CASE WHEN o_orderkey % 11 = 0 THEN 'CA' ELSE '' END AS countries, 'A' || o_orderkey || ',B-' || o_custkey AS lots, 'FL-' || (o_orderkey + 600) AS models FROM orders WHERE o_custkey > 0""")
+@query("""SELECT o_orderkey, 'Supplier ' || o_custkey AS firm, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey * 1000 ELSE o_custkey END AS units_us, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS units_canada, CASE WHEN o_orderkey % 5 = 0 THEN 'FL,NY' ELSE 'TX' END AS states,
+o_orderkey % 7 = 0 AS nationwide, CASE WHEN o_orderkey % 11 = 0 THEN 'CA' ELSE '' END AS countries, 'A' || (o_orderkey + 100) || ',B-' || o_custkey AS lots, 'FL-' || (o_orderkey + 600) AS models FROM orders WHERE o_custkey > 0""")
 def notice_facts(spark, root):
     """Firm, units by country, geography, lots and models read out of written notices."""
     o, c = _c("o_orderkey"), _c("o_custkey")
     s = lambda x: x.cast("string")
     title = F.when(o % 2 == 0, F.concat(F.lit("Supplier "), s(c), F.lit(" Recalls Heaters Due to Fire Hazard"))).otherwise(F.concat(F.lit("Heaters recalled by Supplier "), s(c), F.lit(" due to fire; sold online")))
     units = F.concat(F.lit("About "), s(c), F.when(o % 2 == 0, " thousand").otherwise(""), F.when(o % 3 == 0, F.concat(F.lit(" (in addition, "), s(o), F.lit(" were sold in Canada)"))).otherwise(""))
-    where = F.concat(F.when(o % 5 == 0, "Sold in Florida and GA").otherwise("Sold in TX"), F.when(o % 7 == 0, "; nationwide").when(o % 7 == 1, "; not distributed nationwide").otherwise(""), F.when(o % 11 == 0, "; Canada").otherwise(""))
-    codes = F.concat(F.lit("Lot #: A"), s(o), F.lit(", B-"), s(c), F.lit(". Model number FL-"), s(o + 600), F.lit(", sold from 2020"))
+    where = F.concat(F.when(o % 5 == 0, "Sold in Florida and NY").otherwise("Sold in TX"), F.when(o % 7 == 0, "; nationwide").when(o % 7 == 1, "; not distributed nationwide").otherwise(""), F.when(o % 11 == 0, "; Canada").otherwise(""))
+    codes = F.concat(F.lit("Lot #: A"), s(o + 100), F.lit(", B-"), s(c), F.lit(". Model number FL-"), s(o + 600), F.lit(", sold from 2020"))
     d = table(spark, root, "orders").where("o_custkey > 0").select("o_orderkey", title.alias("t"), recalls.country_units(units).alias("u"), recalls.distribution(where).alias("d"), codes.alias("c"))
     return d.select(
         "o_orderkey", recalls.title_firm(_c("t")).alias("firm"), _c("u.us").alias("units_us"), _c("u.canada").alias("units_canada"), F.array_join("d.us_states", ",").alias("states"), _c("d.nationwide_us").alias("nationwide"), F.array_join("d.countries", ",").alias("countries"),
