@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlattice.session import cut, parallelism
+from factlattice.session import cut, parallelism, small_copy
 
 _ROW = "key string, id string, start long, recorded long, pid int, pos long, open boolean, pending boolean, head boolean, prev_id string, s0_start long, s0_id string, kid_start array<long>, kid_recorded array<long>, kid_id array<string>"
 _COLS = [c.strip().split(" ")[0] for c in _ROW.split(", ")]
@@ -128,13 +128,14 @@ def ledger(versions: DataFrame, partitions: int | None = None) -> DataFrame:
     crossing = border.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
     later = crossing.withColumn("later", F.min("least").over(Window.partitionBy("key").orderBy("pid").rowsBetween(1, Window.unboundedFollowing)))
     later = later.select("key", "pid", "later")  # at most a few rows per partition: a key crosses a border only as its first or last
-    tagged = swept.join(F.broadcast(later.withColumn("crosses", F.lit(True))), ["key", "pid"], "left")
+    bound = 2 * swept.rdd.getNumPartitions() + 2
+    tagged = swept.join(small_copy(later.withColumn("crosses", F.lit(True)), bound), ["key", "pid"], "left")
     reach = F.col("later").isNotNull() & (rank > F.col("later"))
     touched = F.coalesce("crosses", F.lit(False))
     # of the entries below the reach only the top one can get another child; it is the one that the later record splits
     below = tagged.where(touched & F.col("pending") & ~F.col("open") & F.col("later").isNotNull() & ~reach)
     top = below.groupBy("key", "pid").agg(F.max("pos").alias("top"))
-    tagged = tagged.join(F.broadcast(top), ["key", "pid"], "left")
+    tagged = tagged.join(small_copy(top, bound), ["key", "pid"], "left")
     unsure = touched & (F.col("open") | (F.col("pending") & (reach | F.coalesce(F.col("pos") == F.col("top"), F.lit(False)))))
     merged = tagged.where(unsure).select(*_COLS).groupBy("key").applyInPandas(_merge, _ROW)
     settled = tagged.where(~unsure).select(*_COLS).unionByName(merged)

@@ -110,3 +110,15 @@ def certified_models(rows: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.filter(F.transform(upcs, identifiers.gtin14), lambda g: g.isNotNull()))).alias("gtins"), F.filter(upcs, lambda u: ~identifiers.check_digit_ok(u)).alias("rejected_upcs"),
         dates.normalise_date(F.col("date_certified")).alias("certified_on"), dates.normalise_date(F.col("date_available_on_market")).alias("on_market"),
     )
+
+
+def notice_keys(enforced: DataFrame) -> DataFrame:
+    """(kind, value, recall_number): the inverted keys of structured enforcement reports, eleven kinds, each key once: gtin, ndc, ndc_product,
+    lot, serial, firm, state, country, reason, allergen, pathogen. Null and empty values give no key."""
+    of = lambda kind, c: F.transform(c, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    firm = F.array(F.upper(text.collapse(F.col("firm.name"))))
+    k = F.concat(
+        of("gtin", F.col("codes.gtins")), of("ndc", F.col("codes.ndcs")), of("ndc_product", F.transform("codes.ndcs", identifiers.product_of_package)), of("lot", F.col("codes.lots")), of("serial", F.col("codes.serial_numbers")), of("firm", firm),
+        of("state", F.col("distribution.us_states")), of("country", F.col("distribution.countries")), of("reason", F.col("reason.classes")), of("allergen", F.col("reason.allergens")), of("pathogen", F.col("reason.pathogens")),
+    )
+    return enforced.select("recall_number", F.explode(k).alias("k")).select("k.kind", "k.value", "recall_number").where("value is not null and value <> ''").distinct()

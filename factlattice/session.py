@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,11 @@ def rows_of(df: DataFrame, limit: int) -> list:
     return got
 
 
+def small_copy(df: DataFrame, limit: int) -> DataFrame:
+    """A local copy, to be broadcast, of a table whose size has a proven bound; refuses instead of growing past ``limit``."""
+    return F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in rows_of(df, limit)], df.schema))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's shuffle setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -61,3 +67,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = max(parallelism(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that a query writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
