@@ -29,6 +29,7 @@ MAX_VOCABULARY_BYTES = 16 << 20
 # Fixed value: how text is split before the merges; white space is Unicode's White_Space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+KNOWN_FITS = 1_000_000  # pairs that a worker remembers; more are worked out again
 KNOWN_PIECES = 400_000  # pieces a worker keeps before it starts over
 LONG_PIECE = 400  # bytes; longer pieces are rarely met again
 
@@ -80,6 +81,8 @@ class Tokenizer:
     def compatible(self, a: int, b: int) -> bool:
         got = self.fits.get((a, b))
         if got is None:
+            if len(self.fits) >= KNOWN_FITS:
+                self.fits.clear()
             got = self.fits[(a, b)] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return got
 
