@@ -29,7 +29,8 @@ def _with_least(pairs: DataFrame, rows: int) -> DataFrame:
     if rows <= HOT_DEGREE:  # no node can be hot
         return pairs.join(least.drop("deg"), "u")
     hot = least.where(F.col("deg") > floor).select("u").withColumn("hot", F.lit(True))  # fewer than HOT_SHARE rows
-    salted = pairs.join(F.broadcast(hot), "u", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salted = pairs.join(F.broadcast(hot), "u", "left").withColumn("salt",
+        F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int"))
     spread = least.withColumn("salt", F.explode(F.when(F.col("deg") > floor, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(spread.drop("deg"), ["u", "salt"]).select("u", "v", "m")
 
@@ -54,7 +55,8 @@ def connected(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = _with_least(large, before[0])
-        small = near.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = near.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+            F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = cut(small.select("e.u", "e.v").where("u <> v").distinct())
         now = _signature(e)
         if now == before:

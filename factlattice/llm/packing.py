@@ -84,7 +84,8 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 def known_targets(targets: DataFrame) -> list:
     """The usable targets: a short list by nature, whose size is checked."""
-    return rows_of(targets.where((F.col("capacity") > 0) & F.col("target").isNotNull()).select("target", "capacity").distinct().orderBy("target"), MAX_TARGETS)
+    return rows_of(targets.where((F.col("capacity") > 0) & F.col("target").isNotNull()).select("target", "capacity").distinct().orderBy("target"),
+        MAX_TARGETS)
 
 
 def pieces(items: DataFrame, targets: DataFrame) -> DataFrame:
@@ -94,7 +95,8 @@ def pieces(items: DataFrame, targets: DataFrame) -> DataFrame:
     rows = known_targets(targets)
     if not rows:
         return items.limit(0).select(F.lit("").alias("target"), F.lit(0).cast("bigint").alias("capacity"), "item", F.lit(0).alias("piece"), "size")
-    each = items.where("size is not null").withColumn("_t", F.explode(F.array(*[F.struct(F.lit(r.target).alias("target"), F.lit(int(r.capacity)).cast("bigint").alias("capacity")) for r in rows]))).select("*", "_t.*").drop("_t")
+    each = items.where("size is not null").withColumn("_t", F.explode(F.array(*[F.struct(F.lit(r.target).alias("target"),
+        F.lit(int(r.capacity)).cast("bigint").alias("capacity")) for r in rows]))).select("*", "_t.*").drop("_t")
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity"))).cast("int")
     each = each.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     return each.withColumn("size", F.least(F.col("capacity").cast("bigint"), F.col("size") - F.col("piece").cast("bigint") * F.col("capacity")))
@@ -124,15 +126,19 @@ def pack(items: DataFrame, targets: DataFrame, items_per_shard: int = ITEMS_PER_
     items of their own only if their ``item`` differs. Empty input gives no rows.
     """
     whole = F.col("size").cast("bigint")
-    p = pieces(items, targets).select("target", F.col("capacity").cast("bigint").alias("capacity"), F.col("item").cast("string").alias("unit"), F.col("piece").cast("bigint").alias("piece"), whole.alias("size"))
+    p = pieces(items, targets).select("target", F.col("capacity").cast("bigint").alias("capacity"), F.col("item").cast("string").alias("unit"),
+        F.col("piece").cast("bigint").alias("piece"), whole.alias("size"))
     p = cut(p)  # the sizes may have cost tokenising; they are read three times
     full = (F.col("size") == F.col("capacity")) & (F.col("size") > 0)
     done = p.where(full).select("target", F.concat_ws("-", F.lit("f"), "unit", "piece").alias("container"), "unit", "piece", "size")
     rest = p.where(~full)
     first = cut(_round(rest, max(1, math.ceil(rest.count() / items_per_shard)))).withColumn("container", F.concat_ws("-", F.lit("a"), "shard", "bin"))
     caps = p.sparkSession.createDataFrame([(r.target, int(r.capacity)) for r in known_targets(targets)], "target string, capacity long")
-    loose = first.groupBy("target", "container").agg(F.max("fill").alias("size")).join(F.broadcast(caps), "target").where(F.col("size") < F.col("capacity") * LOOSE)
+    loose = first.groupBy("target", "container").agg(F.max("fill").alias("size")).join(F.broadcast(caps),
+        "target").where(F.col("size") < F.col("capacity") * LOOSE)
     loose = cut(loose.select("target", "capacity", F.col("container").alias("unit"), F.lit(0).cast("bigint").alias("piece"), "size"))
-    merged = _round(loose, max(1, math.ceil(loose.count() / items_per_shard))).select("target", F.col("unit").alias("container"), F.concat_ws("-", F.lit("b"), "shard", "bin").alias("to"))
-    placed = first.join(merged, ["target", "container"], "left").select("target", F.coalesce("to", "container").alias("container"), "unit", "piece", "size")
+    merged = _round(loose, max(1, math.ceil(loose.count() / items_per_shard))).select("target", F.col("unit").alias("container"),
+        F.concat_ws("-", F.lit("b"), "shard", "bin").alias("to"))
+    placed = first.join(merged, ["target", "container"], "left").select("target", F.coalesce("to", "container").alias("container"), "unit", "piece",
+        "size")
     return placed.unionByName(done).select("target", "container", F.col("unit").alias("item"), "piece", "size")

@@ -44,7 +44,8 @@ def p9_packed(spark: SparkSession, root: str) -> DataFrame:
     """Every document, by its size in tokens, in a container of each target size."""
     items = tokens.token_counts(table(spark, root, "documents")).select(F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"))
     targets = table(spark, root, "packing_targets").select("target", F.col("capacity_tokens").alias("capacity"))
-    return packing.pack(items, targets).select("target", "container", F.col("item").cast("bigint").alias("doc_id"), "piece", F.col("size").alias("n_tokens"))
+    return packing.pack(items, targets).select("target", "container", F.col("item").cast("bigint").alias("doc_id"), "piece",
+        F.col("size").alias("n_tokens"))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
@@ -58,13 +59,15 @@ def p10_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_truths": p7_truths, "p8_ids": p8_ids, "p9_packed": p9_packed,
+    "p2_found": p2_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_truths": p7_truths, "p8_ids": p8_ids,
+    "p9_packed": p9_packed,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
 }
 
 SQL = {
     "p2_found": """
-WITH RECURSIVE raw AS (SELECT regexp_replace(lower(from_entity_id), '[^0-9a-f]', '', 'g') AS a, regexp_replace(lower(to_entity_id), '[^0-9a-f]', '', 'g') AS b
+WITH RECURSIVE raw AS (SELECT regexp_replace(lower(from_entity_id), '[^0-9a-f]', '', 'g') AS a, regexp_replace(lower(to_entity_id), '[^0-9a-f]', '',
+'g') AS b
   FROM entity_redirects WHERE active AND from_entity_id IS NOT NULL AND to_entity_id IS NOT NULL),
 e AS (SELECT a, b FROM raw UNION SELECT b, a FROM raw),
 reach AS (SELECT DISTINCT a AS n, a AS m FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.m),
@@ -72,10 +75,12 @@ g AS (SELECT n, min(m) AS m FROM reach GROUP BY n)
 SELECT concat_ws('-', substr(n, 1, 8), substr(n, 9, 4), substr(n, 13, 4), substr(n, 17, 4), substr(n, 21, 12)) AS entity_id,
   concat_ws('-', substr(m, 1, 8), substr(m, 9, 4), substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12)) AS group_id FROM g""",
     "p7_found": """
-WITH c AS (SELECT DISTINCT id, entity_id, property, status, valid_from, CASE WHEN confidence > 1 THEN round(confidence / 100, 9) ELSE confidence END AS conf FROM facts
+WITH c AS (SELECT DISTINCT id, entity_id, property, status, valid_from, CASE WHEN confidence > 1 THEN round(confidence / 100, 9) ELSE confidence END
+AS conf FROM facts
   WHERE valid_to IS NULL AND status IN ('ACTIVE', 'PROPOSED', 'DISPUTED') AND normalized_value IS NOT NULL
   AND lower(trim(replace(normalized_value, '"', ''))) NOT IN ('', 'null', 'n/a', 'na', 'none', 'unknown', 'not specified', 'tbd', '-', '--')),
-r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, property ORDER BY CASE WHEN status = 'DISPUTED' THEN 1 ELSE 0 END, coalesce(conf, -1) DESC, valid_from DESC NULLS LAST, id) AS k,
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, property ORDER BY CASE WHEN status = 'DISPUTED' THEN 1 ELSE 0 END, coalesce(conf, -1) DESC,
+valid_from DESC NULLS LAST, id) AS k,
   count(*) OVER (PARTITION BY entity_id, property) AS n FROM c)
 SELECT entity_id, property, id AS fact_id FROM r WHERE k = 1 AND n > 1""",
 }

@@ -27,7 +27,8 @@ def run(spark, edges):
 
 
 def test_chain_star_cycle_self_repeated_and_null(spark):
-    edges = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)] + [("s0", f"s{i}") for i in range(1, 30)] + [("x", "y"), ("y", "z"), ("z", "x"), ("x", "y"), ("l", "l"), (None, "n"), ("n", None)]
+    edges = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)] + [("s0", f"s{i}") for i in range(1, 30)] + [("x", "y"), ("y", "z"), ("z", "x"),
+        ("x", "y"), ("l", "l"), (None, "n"), ("n", None)]
     assert run(spark, edges) == brute(edges)
 
 

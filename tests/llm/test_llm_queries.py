@@ -36,8 +36,10 @@ def test_each_row_has_at_most_one_live_entity(spark):
 
 def test_at_most_one_value_of_a_field_is_kept(spark):
     t = rows(spark, "p7_truths")
-    kept, first = collections.Counter((r.entity_id, r.property) for r in t if r.kept), collections.Counter((r.entity_id, r.property) for r in t if r.first)
-    assert t and set(kept.values()) == {1} and set(first) == {(r.entity_id, r.property) for r in t} and set(first.values()) == {1} and all(0 <= r.posterior <= 1 for r in t)
+    kept, first = collections.Counter((r.entity_id, r.property) for r in t if r.kept), collections.Counter((r.entity_id,
+        r.property) for r in t if r.first)
+    assert t and set(kept.values()) == {1} and set(first) == {(r.entity_id,
+        r.property) for r in t} and set(first.values()) == {1} and all(0 <= r.posterior <= 1 for r in t)
 
 
 def test_ids_decode_to_the_text(spark):
@@ -62,4 +64,5 @@ def test_containers_hold_every_token_and_no_more_than_they_can(spark):
 def test_damaged_texts_and_their_repairs(spark):
     text = {r[0]: r[1] for r in table("documents").select("doc_id, text").fetchall()}
     found, repaired = {r.doc_id for r in rows(spark, "p10_found")}, {r.doc_id: r for r in rows(spark, "p10_repaired")}
-    assert found == set(repaired) and all(not text[d].isascii() for d in found) and all((r.text != text[d]) == (r.mapping is not None) for d, r in repaired.items())
+    assert found == set(repaired) and all(not text[d].isascii() for d in found) and all((r.text != text[d]) == (r.mapping is not None) for d,
+        r in repaired.items())

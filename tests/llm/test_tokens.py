@@ -5,7 +5,8 @@ import pytest
 from factlattice.llm import tokens
 
 ODD = [
-    "", None, " ", "a", "  two  spaces ", "tabs\t\tand\r\nbreaks\n\n", "don't WE'LL l'été", "<|endoftext|>", "x" * 3000, "-" * 5000, " " * 4000 + "x", "١٢٣½Ⅷ", "🔧🔧🔧́", "中文字符と仮名", "a\x1cb\x1f\x85c", "᠎﻿ x", "ab​cd", "\x00", "0123456789" * 300, "Ünïcödé Ñandú ß",
+    "", None, " ", "a", "  two  spaces ", "tabs\t\tand\r\nbreaks\n\n", "don't WE'LL l'été", "<|endoftext|>", "x" * 3000, "-" * 5000, " " * 4000 + "x",
+    "١٢٣½Ⅷ", "🔧🔧🔧́", "中文字符と仮名", "a\x1cb\x1f\x85c", "᠎﻿ x", "ab​cd", "\x00", "0123456789" * 300, "Ünïcödé Ñandú ß",
 ]
 
 
