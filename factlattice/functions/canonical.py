@@ -24,7 +24,8 @@ def derived_uuid(*parts: Column) -> Column:
     for p in parts:
         whole = whole & p.isNotNull()
     variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
-    return F.when(whole, F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)))
+    return F.when(whole, F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant,
+        F.substring(h, 18, 3)), F.substring(h, 21, 12)))
 
 
 # Weights, penalties and factors of the scores.
@@ -33,11 +34,13 @@ PARSE_FAILURE, AMBIGUOUS_FIELD, MISSING_REQUIRED_CEILING = 0.25, 0.15, 0.5
 ASSUMED_UNIT_FACTOR, AMBIGUOUS_DATE_FACTOR, UNMAPPED_FACTOR, LOSSY_FACTOR = 0.8, 0.7, 0.6, 0.99
 
 
-def extraction_confidence(required: Column, required_present: Column, optional: Column, optional_present: Column, failures: Column, ambiguous: Column) -> Column:
+def extraction_confidence(required: Column, required_present: Column, optional: Column, optional_present: Column, failures: Column,
+    ambiguous: Column) -> Column:
     """Coverage of required and optional fields, weighted, less penalties for parse failures and ambiguous fields by their share;
     at most one half while a required field is missing; in 0..1, to four digits. Nothing expected counts as covered."""
     share = lambda n, of: F.when(of == 0, 1.0).otherwise(n / of)
-    base = (REQUIRED_WEIGHT * share(required_present, required) + OPTIONAL_WEIGHT * share(optional_present, optional)) / (REQUIRED_WEIGHT + OPTIONAL_WEIGHT)
+    base = (REQUIRED_WEIGHT * share(required_present, required) + OPTIONAL_WEIGHT * share(optional_present, optional)) / (REQUIRED_WEIGHT
+        + OPTIONAL_WEIGHT)
     tried = F.greatest(required + optional, F.lit(1))
     score = base - PARSE_FAILURE * failures / tried - AMBIGUOUS_FIELD * ambiguous / tried
     score = F.when(required_present < required, F.least(score, F.lit(MISSING_REQUIRED_CEILING))).otherwise(score)
@@ -47,7 +50,8 @@ def extraction_confidence(required: Column, required_present: Column, optional:
 def normalisation_confidence(unmapped: Column, lossy: Column, assumed_unit: Column, ambiguous_date: Column) -> Column:
     """The product of the factors whose conditions hold, to four digits."""
     score = F.lit(1.0)
-    for cond, factor in ((unmapped, UNMAPPED_FACTOR), (lossy, LOSSY_FACTOR), (assumed_unit, ASSUMED_UNIT_FACTOR), (ambiguous_date, AMBIGUOUS_DATE_FACTOR)):
+    for cond, factor in ((unmapped, UNMAPPED_FACTOR), (lossy, LOSSY_FACTOR), (assumed_unit, ASSUMED_UNIT_FACTOR),
+        (ambiguous_date, AMBIGUOUS_DATE_FACTOR)):
         score = score * F.when(F.coalesce(cond, F.lit(False)), factor).otherwise(1.0)
     return F.round(score, 4)
 

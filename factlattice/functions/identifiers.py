@@ -9,10 +9,12 @@ from factlattice.functions.text import collapse, fold_punctuation, nfkc, slugify
 
 _DROP = {"alphanumeric": "[^0-9A-Za-z]", "digits": "[^0-9]", "letters": "[^A-Za-z]"}
 # How each kind of alias is normalised.
-PROFILES = {"model_number": {}, "ahri_ref": {"keep": "digits", "strip_zeros": True}, "manufacturer_sku": {}, "upc": {"keep": "digits", "pad_to": 12}, "series_name": {}}
+PROFILES = {"model_number": {}, "ahri_ref": {"keep": "digits", "strip_zeros": True}, "manufacturer_sku": {}, "upc": {"keep": "digits", "pad_to": 12},
+    "series_name": {}}
 
 
-def normalise(c: Column, keep: str = "alphanumeric", case: str = "upper", strip_zeros: bool = False, pad_to: int | None = None, max_length: int | None = None) -> Column:
+def normalise(c: Column, keep: str = "alphanumeric", case: str = "upper", strip_zeros: bool = False, pad_to: int | None = None, max_length: int
+    | None = None) -> Column:
     """Kept characters of the NFKC form only, in one case; optionally without leading zeros (one stays), padded with zeros (never cut), cut."""
     x = F.regexp_replace(fold_punctuation(nfkc(c)), _DROP[keep], "")
     x = F.upper(x) if case == "upper" else F.lower(x) if case == "lower" else x
@@ -41,7 +43,8 @@ def match(a: Column, b: Column, **options) -> Column:
 def candidates(c: Column) -> Column:
     """The spellings under which a typed identifier may be stored."""
     t = trim(c)
-    got = F.array(t, F.lower(t), F.upper(t), F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""), F.regexp_replace(F.upper(t), "[^A-Z0-9]+", ""), slugify(t))
+    got = F.array(t, F.lower(t), F.upper(t), F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""), F.regexp_replace(F.upper(t), "[^A-Z0-9]+", ""),
+        slugify(t))
     return F.filter(F.array_distinct(got), lambda x: x != "")
 
 
@@ -96,7 +99,8 @@ def ndc_product(c: Column) -> Column:
 def ndc_input(c: Column) -> Column:
     """A typed code: package, product, or 11 plain digits."""
     t = trim(c)
-    return F.coalesce(ndc_package(t), ndc_product(t), F.when(t.rlike("^[0-9]{11}$"), F.concat_ws("-", F.substring(t, 1, 5), F.substring(t, 6, 4), F.substring(t, 10, 2))))
+    return F.coalesce(ndc_package(t), ndc_product(t), F.when(t.rlike("^[0-9]{11}$"), F.concat_ws("-", F.substring(t, 1, 5), F.substring(t, 6, 4),
+        F.substring(t, 10, 2))))
 
 
 def product_of_package(ndc: Column) -> Column:

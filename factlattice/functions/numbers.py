@@ -9,9 +9,11 @@ from factlattice.functions.text import comparison_key
 
 # Fixed values: (dimension, factor to base, offset) of each unit; temperature is affine.
 UNITS = {
-    "BTU/h": ("power", 0.29307107017222, 0.0), "kBTU/h": ("power", 293.07107017222, 0.0), "ton": ("power", 3516.85284206664, 0.0), "W": ("power", 1.0, 0.0), "kW": ("power", 1000.0, 0.0),
+    "BTU/h": ("power", 0.29307107017222, 0.0), "kBTU/h": ("power", 293.07107017222, 0.0), "ton": ("power", 3516.85284206664, 0.0),
+    "W": ("power", 1.0, 0.0), "kW": ("power", 1000.0, 0.0),
     "g": ("mass", 0.001, 0.0), "kg": ("mass", 1.0, 0.0), "oz": ("mass", 0.028349523125, 0.0), "lb": ("mass", 0.45359237, 0.0),
-    "mm": ("length", 0.001, 0.0), "cm": ("length", 0.01, 0.0), "m": ("length", 1.0, 0.0), "in": ("length", 0.0254, 0.0), "ft": ("length", 0.3048, 0.0),
+    "mm": ("length", 0.001, 0.0), "cm": ("length", 0.01, 0.0), "m": ("length", 1.0, 0.0), "in": ("length", 0.0254, 0.0),
+    "ft": ("length", 0.3048, 0.0),
     "CFM": ("flow", 0.00047194745, 0.0), "L/s": ("flow", 0.001, 0.0), "m3/h": ("flow", 1 / 3600, 0.0),
     "V": ("voltage", 1.0, 0.0), "kV": ("voltage", 1000.0, 0.0), "mV": ("voltage", 0.001, 0.0),
     "°C": ("temperature", 1.0, 273.15), "°F": ("temperature", 5 / 9, 255.3722222222222), "K": ("temperature", 1.0, 0.0),

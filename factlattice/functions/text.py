@@ -25,7 +25,8 @@ _WS = r"[\s   -     　﻿]"  # white space as in ECMAScript
 # Named entities.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "shy": "­", "zwnj": "‌", "zwj": "‍", "lrm": "‎", "rlm": "‏",
-    "deg": "°", "frac12": "½", "frac14": "¼", "frac34": "¾", "times": "×", "mdash": "-", "ndash": "-", "hellip": "...", "reg": "®", "trade": "™", "copy": "©",
+    "deg": "°", "frac12": "½", "frac14": "¼", "frac34": "¾", "times": "×", "mdash": "-", "ndash": "-", "hellip": "...", "reg": "®", "trade": "™",
+    "copy": "©",
 }
 
 
@@ -160,7 +161,8 @@ def contains_all(document: Column, query_tokens: list[str]) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of each word, padded with two blanks before and one after."""
-    grams = F.transform(tokens(c), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    grams = F.transform(tokens(c), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w,
+        F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
 

@@ -15,7 +15,8 @@ NULL_WORDS = (
 def json_scalar(col: Column) -> Column:
     """The text of a JSON scalar (string without quotes and escapes); the text itself where it isn't a JSON string; null for JSON null."""
     t = F.trim(col)
-    return F.when(t == "null", None).when(t.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), t, F.lit("}")), "$.v"), t)).otherwise(t)
+    return F.when(t == "null", None).when(t.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), t, F.lit("}")), "$.v"),
+        t)).otherwise(t)
 
 
 def squeezed(col: Column) -> Column:

@@ -56,7 +56,8 @@ KEY = ["_kind", "_quotient", "_rem_hi", "_rem_lo", "_rem_text"]
 def _order(at: Column, delivery_id: Column) -> Column:
     """Earliest delivery first, then smallest id, as one number that a hash aggregate can keep in place; null times come last."""
     micros = F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(253402300800000000)) + F.lit(62135596800000000)
-    return (micros.cast("decimal(18,0)") * F.lit(str(_ORDER_BASE)).cast("decimal(21,0)")).cast("decimal(38,0)") + (delivery_id.cast("decimal(20,0)") + F.lit(str(_LEAST)).cast("decimal(20,0)"))
+    return (micros.cast("decimal(18,0)") * F.lit(str(_ORDER_BASE)).cast("decimal(21,0)")).cast("decimal(38,0)") + (delivery_id.cast("decimal(20,0)")
+        + F.lit(str(_LEAST)).cast("decimal(20,0)"))
 
 
 def first_copies(deliveries: DataFrame, id_col="id", message_col="message_id", at_col="delivered_at", key_col="delivery_id") -> DataFrame:
@@ -65,7 +66,8 @@ def first_copies(deliveries: DataFrame, id_col="id", message_col="message_id", a
     Deliveries with the same event id (spelling aside) are copies; without an event id, those with the same message id; with
     neither, each delivery stands for itself. A null ``key_col`` can't be named and is left out. Empty input gives no rows.
     """
-    d = deliveries.where(F.col(key_col).isNotNull()).select(F.col(key_col).alias("_d"), F.col(at_col).alias("_at"), *quotient_key(F.col(id_col), F.col(message_col)))
+    d = deliveries.where(F.col(key_col).isNotNull()).select(F.col(key_col).alias("_d"), F.col(at_col).alias("_at"),
+        *quotient_key(F.col(id_col), F.col(message_col)))
     known = d.where(F.col("_kind").isNotNull())
     kept = known.groupBy(*KEY).agg(F.min(_order(F.col("_at"), F.col("_d"))).alias("_o"))
     moved = (F.col("_o") % F.lit(str(_ORDER_BASE)).cast("decimal(21,0)")).cast("decimal(21,0)") - F.lit(str(_LEAST)).cast("decimal(20,0)")
@@ -105,7 +107,8 @@ class QuotientTable:
         from pyspark.sql.utils import AnalysisException
 
         rows = self._keyed(batch, id_col, message_col)
-        first = rows.where("_kind is not null").groupBy("_shard", *KEY).agg(F.min(F.struct(*(order or []), *[c for c in batch.columns if c not in (order or [])])).alias("_r"))
+        first = rows.where("_kind is not null").groupBy("_shard", *KEY).agg(F.min(F.struct(*(order or []),
+            *[c for c in batch.columns if c not in (order or [])])).alias("_r"))
         one = first.select("_shard", *KEY, *[F.col(f"_r.{c}").alias(c) for c in batch.columns])
         try:
             seen = batch.sparkSession.read.parquet(self.path).where(F.col("batch") != number)

@@ -16,7 +16,8 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "both"
     ``edges(src, dst)``; direction out, in or both."""
     if not 1 <= depth <= 4:
         raise ValueError("depth must be 1 to 4")
-    out, back = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
+    out, back = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), edges.select(F.col("dst").alias("node"),
+        F.col("src").alias("next"))
     step = {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
     seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
     frontier = seen
@@ -37,7 +38,8 @@ def resolve_chains(links: DataFrame) -> DataFrame:
     while True:
         n = p.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("hops").alias("_h"))
         j = p.join(n, p["dst"] == n["_s"], "left")
-        p2 = cut(j.select("src", F.coalesce("_d", "dst").alias("dst"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_s").isNotNull().alias("_more")))
+        p2 = cut(j.select("src", F.coalesce("_d", "dst").alias("dst"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"),
+            F.col("_s").isNotNull().alias("_more")))
         more = p2.where("_more").count()
         p = p2.drop("_more")
         longest = p.agg(F.max("hops")).first()[0] or 0

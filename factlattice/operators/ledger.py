@@ -62,7 +62,8 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 _emit(out, stack.pop(), False, (start, fid))
             if stack:
                 stack[-1].kids.append((start, recorded, fid))
-            row = {"key": k, "id": fid, "start": start, "recorded": recorded, "pid": pid, "pos": pos, "open": first_key and not stack, "head": first_key and pos == 0, "prev_id": last}
+            row = {"key": k, "id": fid, "start": start, "recorded": recorded, "pid": pid, "pos": pos, "open": first_key and not stack,
+                "head": first_key and pos == 0, "prev_id": last}
             stack.append(_Entry(row, rank))
             last, pos = fid, pos + 1
         if out:
@@ -124,7 +125,8 @@ def ledger(versions: DataFrame, partitions: int | None = None) -> DataFrame:
 
     # per key and partition, for keys that touch a border: the earliest record that a later partition holds
     rank = F.struct("recorded", "start", "id")
-    border = swept.where("pending or open").groupBy("key", "pid").agg(F.min(rank).alias("least"), F.max(F.when(F.col("open"), F.lit(1)).otherwise(0)).alias("has_open"))
+    border = swept.where("pending or open").groupBy("key", "pid").agg(F.min(rank).alias("least"),
+        F.max(F.when(F.col("open"), F.lit(1)).otherwise(0)).alias("has_open"))
     crossing = border.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1")
     later = crossing.withColumn("later", F.min("least").over(Window.partitionBy("key").orderBy("pid").rowsBetween(1, Window.unboundedFollowing)))
     later = later.select("key", "pid", "later")  # at most a few rows per partition: a key crosses a border only as its first or last
@@ -142,7 +144,8 @@ def ledger(versions: DataFrame, partitions: int | None = None) -> DataFrame:
 
     first = F.array(F.struct(F.col("s0_start").alias("valid_to"), F.col("s0_id").alias("next_id"), F.col("recorded").alias("known_from")))
     kids = F.reverse(F.arrays_zip(F.col("kid_start").alias("valid_to"), F.col("kid_id").alias("next_id"), F.col("kid_recorded").alias("known_from")))
-    steps = F.concat(first, F.transform(kids, lambda k: F.struct(k["valid_to"].alias("valid_to"), k["next_id"].alias("next_id"), k["known_from"].alias("known_from"))))
+    steps = F.concat(first, F.transform(kids, lambda k: F.struct(k["valid_to"].alias("valid_to"), k["next_id"].alias("next_id"),
+        k["known_from"].alias("known_from"))))
     rows = settled.select("key", "id", "start", "prev_id", steps.alias("steps"))
     rows = rows.select("key", "id", "start", "prev_id", "steps", F.posexplode("steps").alias("_i", "s"))
     known_to = F.when(F.col("_i") + 1 < F.size("steps"), F.col("steps")[F.col("_i") + 1]["known_from"])

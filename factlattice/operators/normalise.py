@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from factlattice.functions import dates, identifiers, numbers, text
 
 KINDS = (
-    "trim", "collapse", "lower", "upper", "title", "strip_characters", "replace", "punctuation", "decode_entities", "unicode", "null_token", "identifier", "boolean", "decimal", "integer", "quantity", "convert", "round", "range", "vocabulary", "date", "datetime", "required",
+    "trim", "collapse", "lower", "upper", "title", "strip_characters", "replace", "punctuation", "decode_entities", "unicode", "null_token",
+    "identifier", "boolean", "decimal", "integer", "quantity", "convert", "round", "range", "vocabulary", "date", "datetime", "required",
 )
 
 
@@ -39,7 +40,8 @@ def validate(rules: list[Rule], columns: list[str]) -> list[str]:
 
 
 def _state(t: Column, n: Column, u: Column, f: Column) -> Column:
-    return F.struct(t.cast("string").alias("text"), n.cast("double").alias("number"), u.cast("string").alias("unit"), f.cast("string").alias("failure"))
+    return F.struct(t.cast("string").alias("text"), n.cast("double").alias("number"), u.cast("string").alias("unit"),
+        f.cast("string").alias("failure"))
 
 
 def _step(s: Column, kind: str, args: tuple) -> Column:
@@ -47,7 +49,8 @@ def _step(s: Column, kind: str, args: tuple) -> Column:
     null = F.lit(None)
     keep = lambda c: _state(c, n, u, null)
     fail = lambda bad, code, good: F.when(bad, _state(t, n, u, F.lit(code))).otherwise(good)
-    simple = {"trim": text.trim, "collapse": text.collapse, "lower": F.lower, "upper": F.upper, "title": text.title_case, "punctuation": text.fold_punctuation, "decode_entities": text.decode_entities, "unicode": text.nfkc}
+    simple = {"trim": text.trim, "collapse": text.collapse, "lower": F.lower, "upper": F.upper, "title": text.title_case,
+        "punctuation": text.fold_punctuation, "decode_entities": text.decode_entities, "unicode": text.nfkc}
     if kind in simple:
         return keep(simple[kind](t))
     if kind == "strip_characters":
@@ -75,10 +78,12 @@ def _step(s: Column, kind: str, args: tuple) -> Column:
         known = F.lit(None).cast("string")
         for name in numbers.UNITS:
             known = F.when(F.lower(unit) == name.lower(), name).otherwise(known)
-        return F.when(x.isNull(), _state(t, n, u, F.lit("UNPARSEABLE_NUMBER"))).when(unit.isNotNull() & known.isNull(), _state(t, x, unit, F.lit("UNKNOWN_UNIT"))).otherwise(_state(t, x, F.coalesce(known, u), null))
+        return F.when(x.isNull(), _state(t, n, u, F.lit("UNPARSEABLE_NUMBER"))).when(unit.isNotNull() & known.isNull(),
+            _state(t, x, unit, F.lit("UNKNOWN_UNIT"))).otherwise(_state(t, x, F.coalesce(known, u), null))
     if kind == "convert":
         x = numbers.convert(n, u, args[0])
-        return F.when(u.isNull(), _state(t, n, u, F.lit("MISSING_UNIT"))).when(x.isNull(), _state(t, n, u, F.lit("DIMENSION_MISMATCH"))).otherwise(_state(t, x, F.lit(args[0]), null))
+        return F.when(u.isNull(), _state(t, n, u, F.lit("MISSING_UNIT"))).when(x.isNull(),
+            _state(t, n, u, F.lit("DIMENSION_MISMATCH"))).otherwise(_state(t, x, F.lit(args[0]), null))
     if kind == "round":
         return _state(t, numbers.js_round(n, args[0]), u, null)
     if kind == "range":
@@ -122,7 +127,8 @@ def normalise(records: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
             s = F.when(s["failure"].isNull() & s["unit"].isNull(), _state(s["text"], s["number"], s["unit"], F.lit("MISSING_UNIT"))).otherwise(s)
         got.append(F.struct(F.lit(r.property).alias("property"), s.alias("s"), F.col(f"_raw{i}").alias("raw")))
     long = df.select(F.col(key), F.explode(F.array(*got)).alias("r")).where("r.raw is not null")
-    return long.select(key, "r.property", F.col("r.s.text").alias("value"), F.col("r.s.number").alias("number"), F.col("r.s.unit").alias("unit"), F.col("r.s.failure").alias("failure"), "r.raw")
+    return long.select(key, "r.property", F.col("r.s.text").alias("value"), F.col("r.s.number").alias("number"), F.col("r.s.unit").alias("unit"),
+        F.col("r.s.failure").alias("failure"), "r.raw")
 
 
 def payload(normalised: DataFrame, key: str) -> DataFrame:
@@ -130,7 +136,8 @@ def payload(normalised: DataFrame, key: str) -> DataFrame:
     good = F.col("failure").isNull()
     value = F.coalesce(F.col("number").cast("string"), F.col("value"))
     g = normalised.groupBy(key).agg(
-        F.collect_list(F.when(good, F.struct("property", value.alias("v")))).alias("p"), F.collect_list(F.when(good & F.col("unit").isNotNull(), F.struct("property", "unit"))).alias("u"),
+        F.collect_list(F.when(good, F.struct("property", value.alias("v")))).alias("p"),
+        F.collect_list(F.when(good & F.col("unit").isNotNull(), F.struct("property", "unit"))).alias("u"),
         F.array_sort(F.collect_list(F.when(~good, F.concat_ws(":", "property", "failure")))).alias("failures"),
     )
     return g.select(key, F.map_from_entries("p").alias("properties"), F.map_from_entries("u").alias("units"), "failures")

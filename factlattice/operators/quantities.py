@@ -45,11 +45,13 @@ _MASS = {"lb": (1.0, 0.0), "kg": (2.2046226218487757, 0.0), "g": (0.002204622621
 QUANTITIES = {
     q.name: q
     for q in (
-        Quantity("cooling_capacity", "BTU/h", {"BTU/h": (1.0, 0.0), "kBTU/h": (1000.0, 0.0), "ton": (12000.0, 0.0), "W": (3.412141633, 0.0), "kW": (3412.141633, 0.0)}, 8000, 250000),
+        Quantity("cooling_capacity", "BTU/h", {"BTU/h": (1.0, 0.0), "kBTU/h": (1000.0, 0.0), "ton": (12000.0, 0.0), "W": (3.412141633, 0.0),
+        "kW": (3412.141633, 0.0)}, 8000, 250000),
         Quantity("net_weight", "lb", _MASS, 50, 1100),
         Quantity("refrigerant_charge", "lb", _MASS),
         Quantity("airflow", "CFM", {"CFM": (1.0, 0.0), "L/s": (2.118880003, 0.0), "m3/h": (0.5885777786, 0.0)}),
-        Quantity("line_length_max", "ft", {"ft": (1.0, 0.0), "in": (1 / 12, 0.0), "m": (3.280839895, 0.0), "cm": (0.03280839895, 0.0), "mm": (0.003280839895, 0.0)}),
+        Quantity("line_length_max", "ft", {"ft": (1.0, 0.0), "in": (1 / 12, 0.0), "m": (3.280839895, 0.0), "cm": (0.03280839895, 0.0),
+        "mm": (0.003280839895, 0.0)}),
         Quantity("max_ambient", "°F", {"°F": (1.0, 0.0), "°C": (1.8, 32.0), "K": (1.8, -459.67)}),
         Quantity("supply_voltage", "V", {"V": (1.0, 0.0), "kV": (1000.0, 0.0), "mV": (0.001, 0.0)}, 200, 480),
     )
@@ -125,15 +127,18 @@ def readings(df: DataFrame, value: str, unit: str, quantity: str) -> DataFrame:
     df = df.withColumn("_object", raw.startswith("{"))
     text = F.when(is_object, F.get_json_object(raw, "$.value")).otherwise(json_scalar(F.col(value)))
     df = df.withColumn("_text", squeezed(F.regexp_replace(text, r"[(\[][^)\]]*[)\]]", " ")))  # staged columns, so that no text is parsed twice
-    rest = F.regexp_extract(F.col("_text"), rf"(?U)^[^\d½¼¾⅓⅔⅛⅜⅝⅞]*?-?(?:\d+[\s-]+\d+\s*/\s*\d+|\d+\s*/\s*\d+|{_NUM}\s*[½¼¾⅓⅔⅛⅜⅝⅞]?|[½¼¾⅓⅔⅛⅜⅝⅞])\s*[-–]?\s*(.*)$", 1)
+    rest = F.regexp_extract(F.col("_text"),
+        rf"(?U)^[^\d½¼¾⅓⅔⅛⅜⅝⅞]*?-?(?:\d+[\s-]+\d+\s*/\s*\d+|\d+\s*/\s*\d+|{_NUM}\s*[½¼¾⅓⅔⅛⅜⅝⅞]?|[½¼¾⅓⅔⅛⅜⅝⅞])\s*[-–]?\s*(.*)$", 1)
     compound = rf"(?U)^([^\d]+?)\s*({_NUM})\s*([^\d]+)$"
     df = df.withColumn("_rest", rest)
     df = df.withColumn("_two", ~is_object & F.col("_rest").rlike(compound) & ~F.col("_rest").rlike(r"(?i)^(?:ft|m|cu ?ft)[3³^]"))
     two = F.col("_two")
     inside = F.when(is_object, F.get_json_object(raw, "$.unit")).when(two, F.regexp_extract("_rest", compound, 1)).otherwise(F.col("_rest"))
     return df.withColumns({
-        "_number": number(F.col("_text")), "_second": F.when(two, F.regexp_replace(F.regexp_extract("_rest", compound, 2), ",", ".").try_cast("double")),
-        "_inside": unit_key(inside), "_second_inside": F.when(two, unit_key(F.regexp_extract("_rest", compound, 3))), "_named": unit_key(F.col(unit)), "_quantity": F.col(quantity),
+        "_number": number(F.col("_text")), "_second": F.when(two, F.regexp_replace(F.regexp_extract("_rest", compound, 2), ",",
+        ".").try_cast("double")),
+        "_inside": unit_key(inside), "_second_inside": F.when(two, unit_key(F.regexp_extract("_rest", compound, 3))), "_named": unit_key(F.col(unit)),
+        "_quantity": F.col(quantity),
     }).drop("_object", "_text", "_rest", "_two")
 
 
@@ -195,7 +200,8 @@ def _fit(q: Quantity, named: dict[int, int], free: dict[int, int]) -> tuple[dict
         first, last, floor = min(named) - 3 * width, max(named) + 3 * width, 0.0
     else:
         return {u: float(u == q.common) for u in q.units}, {(b, q.common): 1.0 for b in free}
-    density = {b: floor + sum(named.get(b + k, 0) * math.exp(-0.5 * (k / width) ** 2) for k in range(-3 * width, 3 * width + 1)) for b in range(first, last + 1)}
+    density = {b: floor + sum(named.get(b + k, 0) * math.exp(-0.5 * (k / width) ** 2) for k in range(-3 * width, 3 * width + 1)) for b in range(first,
+        last + 1)}
     total = sum(density.values()) or 1.0
     lo, hi = (math.log10(q.low), math.log10(q.high)) if q.low is not None else (-math.inf, math.inf)
 
@@ -232,8 +238,10 @@ def _by_source(counts: DataFrame, fitted: DataFrame) -> DataFrame:
     own = own.select("_quantity", "_source", "unit", "r")
     p = near.join(own, ["_quantity", "_source", "unit"]).withColumn("p", F.col("like") * (F.col("r") + F.lit(SOURCE_PRIOR) * F.col("weight")))
     common = common_unit(F.col("_quantity"))
-    best = p.groupBy(*key).agg(F.max(F.struct("p", (F.col("unit") == common).alias("c"), "unit")).alias("b"), F.sum("p").alias("all"), F.sum(F.when(F.col("unit") == common, F.col("p")).otherwise(0.0)).alias("pc"))
-    return best.select(*key, F.col("b.unit").alias("_fit"), (F.col("b.p") / F.col("all")).alias("_p"), (F.col("pc") / F.col("all")).alias("_p_common"))
+    best = p.groupBy(*key).agg(F.max(F.struct("p", (F.col("unit") == common).alias("c"), "unit")).alias("b"), F.sum("p").alias("all"),
+        F.sum(F.when(F.col("unit") == common, F.col("p")).otherwise(0.0)).alias("pc"))
+    return best.select(*key, F.col("b.unit").alias("_fit"), (F.col("b.p") / F.col("all")).alias("_p"),
+        (F.col("pc") / F.col("all")).alias("_p_common"))
 
 
 def assign_by_size(df: DataFrame, source: str = "_source") -> DataFrame:
@@ -245,8 +253,10 @@ def assign_by_size(df: DataFrame, source: str = "_source") -> DataFrame:
     free = F.col("_unit").isNull() & (n > 0)
     df = df.withColumn("_bin", F.when(free, F.floor(F.log10(n) / BIN).cast("int")))
     named_bin = F.floor(F.log10(to_common(q, F.col("_unit"), n)) / BIN).cast("int")
-    counts = cut(df.where(n > 0).groupBy(q, F.when(free, F.coalesce(source, F.lit(""))).alias("_source"), free.alias("free"), F.coalesce("_bin", named_bin).alias("_bin")).agg(F.count(F.lit(1)).alias("n")).where("_bin is not null"))
-    got = rows_of(counts.groupBy("_quantity", "free", "_bin").agg(F.sum("n").alias("n")), 500_000)  # a double has fewer than 617 decades: at most 31,000 bins for each quantity and kind
+    counts = cut(df.where(n > 0).groupBy(q, F.when(free, F.coalesce(source, F.lit(""))).alias("_source"), free.alias("free"),
+        F.coalesce("_bin", named_bin).alias("_bin")).agg(F.count(F.lit(1)).alias("n")).where("_bin is not null"))
+    got = rows_of(counts.groupBy("_quantity", "free", "_bin").agg(F.sum("n").alias("n")),
+        500_000)  # a double has fewer than 617 decades: at most 31,000 bins for each quantity and kind
     table = []
     for x in QUANTITIES.values():
         named = {r._bin: r.n for r in got if r._quantity == x.name and not r.free}
@@ -254,8 +264,10 @@ def assign_by_size(df: DataFrame, source: str = "_source") -> DataFrame:
         table += [(x.name, b, u, like, weights[u]) for (b, u), like in likes.items()]
     fitted = df.sparkSession.createDataFrame(table, "_quantity string, _bin int, unit string, like double, weight double")
     sized = _by_source(counts.where("free").select("_quantity", "_source", "_bin", "n"), fitted)
-    loose = df.where("_bin is not null").withColumn("_s", F.coalesce(source, F.lit(""))).join(sized.withColumnRenamed("_source", "_s"), ["_quantity", "_s", "_bin"], "left").drop("_s")
-    rest = df.where("_bin is null").withColumns({"_fit": F.lit(None).cast("string"), "_p": F.lit(None).cast("double"), "_p_common": F.lit(None).cast("double")})
+    loose = df.where("_bin is not null").withColumn("_s", F.coalesce(source, F.lit(""))).join(sized.withColumnRenamed("_source", "_s"),
+        ["_quantity", "_s", "_bin"], "left").drop("_s")
+    rest = df.where("_bin is null").withColumns({"_fit": F.lit(None).cast("string"), "_p": F.lit(None).cast("double"),
+        "_p_common": F.lit(None).cast("double")})
     df = rest.unionByName(loose)
     base, unknown = common_unit(q), F.col("_unit").isNull() & n.isNotNull()
     plain = unknown & can_be(q, n)
@@ -315,7 +327,8 @@ _NOTE_WEIGHT = (
 
 def stated_unit(notes: Column, says: str, units: tuple) -> Column:
     """The unit that a feed's notes state for the figures that ``says`` matches; null where they state none."""
-    clauses = F.split(F.regexp_replace(notes, r"(?U)([.;,])\s+|(?<=[a-z]) (?=(?:wt|Weights?|Gewichte|Poids|Pesos?|Masses|Net weight)\b)", "\u0001"), "\u0001")
+    clauses = F.split(F.regexp_replace(notes, r"(?U)([.;,])\s+|(?<=[a-z]) (?=(?:wt|Weights?|Gewichte|Poids|Pesos?|Masses|Net weight)\b)", "\u0001"),
+        "\u0001")
     about = F.filter(clauses, lambda c: c.rlike(says) & ~c.rlike(_ELSEWHERE))
 
     def one(clause: Column) -> Column:
@@ -337,19 +350,24 @@ def catalog_quantities(catalog: DataFrame) -> DataFrame:
     feeds = feeds.groupBy("feed_id").agg(F.min("c").alias("_cap_note"), F.min("w").alias("_wt_note"))
     rows = catalog.select("catalog_id", "feed_id", "capacity_unit", "cooling_capacity_btuh", "net_weight_lb").join(feeds, "feed_id", "left")
     figures = F.array(
-        F.struct(F.lit("cooling_capacity_btuh").alias("field"), F.lit("cooling_capacity").alias("_quantity"), F.col("cooling_capacity_btuh").cast("string").alias("value"), F.coalesce("_cap_note", "capacity_unit").alias("named")),
-        F.struct(F.lit("net_weight_lb").alias("field"), F.lit("net_weight").alias("_quantity"), F.col("net_weight_lb").cast("string").alias("value"), F.col("_wt_note").alias("named")),
+        F.struct(F.lit("cooling_capacity_btuh").alias("field"), F.lit("cooling_capacity").alias("_quantity"),
+        F.col("cooling_capacity_btuh").cast("string").alias("value"), F.coalesce("_cap_note", "capacity_unit").alias("named")),
+        F.struct(F.lit("net_weight_lb").alias("field"), F.lit("net_weight").alias("_quantity"), F.col("net_weight_lb").cast("string").alias("value"),
+        F.col("_wt_note").alias("named")),
     )
-    return rows.select("catalog_id", "feed_id", F.explode(figures).alias("f")).select("catalog_id", "feed_id", "f.*").where(F.col("value").isNotNull())
+    return rows.select("catalog_id", "feed_id", F.explode(figures).alias("f")).select("catalog_id", "feed_id",
+        "f.*").where(F.col("value").isNotNull())
 
 
 def all_quantities(facts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every figure of both tables with its common value: record_table, record_id, field and the columns of ``normalised``.
     Repeated rows of a fact are one. Fitted together, so that figures without a unit learn from all named ones."""
     f = facts.where(F.col("property").isin(*QUANTITIES) & F.col("id").isNotNull()).select(
-        F.lit("facts").alias("record_table"), F.col("id").alias("record_id"), F.lit("normalized_value").alias("field"), F.col("property").alias("quantity"), F.col("normalized_value").alias("value"), F.col("unit").alias("named"), F.lit("facts").alias("source"),
+        F.lit("facts").alias("record_table"), F.col("id").alias("record_id"), F.lit("normalized_value").alias("field"),
+        F.col("property").alias("quantity"), F.col("normalized_value").alias("value"), F.col("unit").alias("named"), F.lit("facts").alias("source"),
     )
     c = catalog_quantities(catalog).select(
-        F.lit("acme_catalog").alias("record_table"), F.col("catalog_id").cast("string").alias("record_id"), "field", F.col("_quantity").alias("quantity"), "value", "named", F.concat(F.lit("feed "), F.coalesce("feed_id", F.lit(""))).alias("source"),
+        F.lit("acme_catalog").alias("record_table"), F.col("catalog_id").cast("string").alias("record_id"), "field",
+        F.col("_quantity").alias("quantity"), "value", "named", F.concat(F.lit("feed "), F.coalesce("feed_id", F.lit(""))).alias("source"),
     )
     return normalised(f.unionByName(c), "value", "named", "quantity", "source")

@@ -89,9 +89,11 @@ def upsert(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 
 def changes(stored: DataFrame, incoming: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, change): inserted, changed or unchanged by digest, and retired for stored keys that a complete snapshot leaves out."""
-    s, i = stored.select(key, F.col(digest).alias("_s"), F.lit(True).alias("_has")), incoming.select(key, F.col(digest).alias("_i"), F.lit(True).alias("_new"))
+    s, i = stored.select(key, F.col(digest).alias("_s"), F.lit(True).alias("_has")), incoming.select(key, F.col(digest).alias("_i"),
+        F.lit(True).alias("_new"))
     both = s.join(i, key, "full_outer")
-    kind = F.when(F.col("_has").isNull(), "inserted").when(F.col("_new").isNull(), "retired").when(F.col("_s").eqNullSafe(F.col("_i")), "unchanged").otherwise("changed")
+    kind = F.when(F.col("_has").isNull(), "inserted").when(F.col("_new").isNull(), "retired").when(F.col("_s").eqNullSafe(F.col("_i")),
+        "unchanged").otherwise("changed")
     return both.select(key, kind.alias("change"))
 
 
@@ -107,7 +109,8 @@ SALT_ABOVE = 20_000  # rows of a blocking key that one task joins with the whole
 
 
 def _blocks(records: DataFrame, keys: Column, ident: str) -> DataFrame:
-    return records.select(F.col(ident).alias("id"), F.explode(F.array_distinct(keys)).alias("block")).where("block is not null and block <> ''").distinct()
+    return records.select(F.col(ident).alias("id"),
+        F.explode(F.array_distinct(keys)).alias("block")).where("block is not null and block <> ''").distinct()
 
 
 def blocking_pairs(records: DataFrame, keys: Column, ident: str = "id", max_block: int | None = None) -> DataFrame:
@@ -118,7 +121,8 @@ def blocking_pairs(records: DataFrame, keys: Column, ident: str = "id", max_bloc
     b = _blocks(records, keys, ident)
     sizes = b.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     if max_block is not None:
-        sizes = sizes.withColumn("n", F.when(F.col("n") > max_block, F.raise_error(F.concat(F.lit("block above the limit: "), "block"))).otherwise(F.col("n")))
+        sizes = sizes.withColumn("n", F.when(F.col("n") > max_block, F.raise_error(F.concat(F.lit("block above the limit: "),
+            "block"))).otherwise(F.col("n")))
     b = b.join(sizes.select("block", F.ceil(F.col("n") / SALT_ABOVE).cast("int").alias("parts")), "block")
     left = b.select(F.col("id").alias("a"), "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"))
     right = b.select(F.col("id").alias("b"), "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))

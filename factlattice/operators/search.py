@@ -45,7 +45,8 @@ def matching(base: DataFrame, keys: DataFrame, wanted: Filters, ident: str = "id
         rows = rows.where(tx.contains_all(F.col(wanted.words[0]), wanted.words[1]))
     if wanted.keys:
         cond = reduce(lambda a, b: a | b, [(F.col("kind") == k) & F.col("value").isin(*v) for k, v in wanted.keys.items()])
-        flags = keys.where(cond).groupBy(F.col(ident).alias("_id")).agg(*[F.bool_or(F.col("kind") == k).alias(f"_k{i}") for i, k in enumerate(wanted.keys)])
+        flags = keys.where(cond).groupBy(F.col(ident).alias("_id")).agg(*[F.bool_or(F.col("kind") == k).alias(f"_k{i}") for i,
+            k in enumerate(wanted.keys)])
         rows = rows.join(flags, rows[ident] == flags["_id"], "left" if wanted.instead else "inner")
         for i, k in enumerate(wanted.keys):
             rows = rows.where(F.coalesce(F.col(f"_k{i}"), F.lit(False)) | F.coalesce(wanted.instead.get(k, F.lit(False)), F.lit(False)))
@@ -62,7 +63,8 @@ def page(rows: DataFrame, at: str, ident: str, limit: int, cursor: tuple | None
 
 def inverted_index(docs: DataFrame, ident: str, fields: dict[str, tuple[Column, float]]) -> DataFrame:
     """(token, id, field, boost, n): every word of the fields of every document, with the field's boost and how often it stands there."""
-    parts = [docs.select(F.col(ident).alias("id"), F.lit(name).alias("field"), F.lit(float(boost)).alias("boost"), F.explode(tx.tokens(c)).alias("token")) for name, (c, boost) in fields.items()]
+    parts = [docs.select(F.col(ident).alias("id"), F.lit(name).alias("field"), F.lit(float(boost)).alias("boost"),
+        F.explode(tx.tokens(c)).alias("token")) for name, (c, boost) in fields.items()]
     return reduce(DataFrame.unionByName, parts).groupBy("token", "id", "field", "boost").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -74,13 +76,15 @@ def ranked(index: DataFrame, words: list[str]) -> DataFrame:
     if len(words) > tx.MAX_TOKENS:
         raise ValueError(f"at most {tx.MAX_TOKENS} words")
     hit = index.where(F.col("token").isin(*words)).groupBy("id", "token").agg(F.max(F.col("boost") * (1 - 1 / (1 + F.col("n")))).alias("w"))
-    return hit.groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("w"), 6).alias("score")).where(F.col("words") == len(words)).select("id", "score")
+    return hit.groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.round(F.sum("w"),
+        6).alias("score")).where(F.col("words") == len(words)).select("id", "score")
 
 
 def tiered(exact: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, tier, score): exact matches first (tier 0, score 1), then ranked ones that aren't exact (tier 1)."""
     e = exact.select("id").distinct()
-    return e.select("id", F.lit(0).alias("tier"), F.lit(1.0).alias("score")).unionByName(hits.join(e, "id", "left_anti").select("id", F.lit(1).alias("tier"), "score"))
+    return e.select("id", F.lit(0).alias("tier"), F.lit(1.0).alias("score")).unionByName(hits.join(e, "id", "left_anti").select("id",
+        F.lit(1).alias("tier"), "score"))
 
 
 def total(found: DataFrame) -> DataFrame:

@@ -79,9 +79,11 @@ def levels(dependencies: DataFrame) -> DataFrame:
     done = cut(nodes.join(d.select(F.col("derived").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
     left, level = d, 0
     while True:
-        left = cut(left.join(done.where(F.col("level") == level).select(F.col("node").alias("input")), "input", "left_anti").select("derived", "input"))
+        left = cut(left.join(done.where(F.col("level") == level).select(F.col("node").alias("input")), "input", "left_anti").select("derived",
+            "input"))
         level += 1
-        ready = nodes.join(done, "node", "left_anti").join(left.select(F.col("derived").alias("node")), "node", "left_anti").withColumn("level", F.lit(level))
+        ready = nodes.join(done, "node", "left_anti").join(left.select(F.col("derived").alias("node")), "node", "left_anti").withColumn("level",
+            F.lit(level))
         ready = cut(ready)
         if ready.isEmpty():
             break
@@ -110,15 +112,18 @@ def merge_entities(entities: DataFrame, redirects: DataFrame, merges: DataFrame,
         raise ValueError(f"{loops[0].survivor} is merged itself")
     e = entities.join(m.select(F.col("loser").alias("entity_id"), F.lit(True).alias("_lost")), "entity_id", "left")
     e = e.withColumn("status", F.when(F.col("_lost"), "MERGED").otherwise(F.col("status"))).drop("_lost")
-    r = redirects.join(m.select(F.col("loser").alias("from_entity_id"), F.lit(True).alias("_lost")), "from_entity_id", "left").withColumn("active", F.col("active") & F.col("_lost").isNull()).drop("_lost")
-    new = m.select(F.col("loser").alias("from_entity_id"), F.col("survivor").alias("to_entity_id"), F.lit(True).alias("active"), F.lit(at).cast(dict(redirects.dtypes)["created_at"]).alias("created_at"))
+    r = redirects.join(m.select(F.col("loser").alias("from_entity_id"), F.lit(True).alias("_lost")), "from_entity_id", "left").withColumn("active",
+        F.col("active") & F.col("_lost").isNull()).drop("_lost")
+    new = m.select(F.col("loser").alias("from_entity_id"), F.col("survivor").alias("to_entity_id"), F.lit(True).alias("active"),
+        F.lit(at).cast(dict(redirects.dtypes)["created_at"]).alias("created_at"))
     return e, r.select(*new.columns).unionByName(new)
 
 
 def insert_new(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``rows`` whose key is not stored, one of each key (the least of all columns); keys compare null-safely."""
     rest = [c for c in rows.columns if c not in keys]
-    one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]) if rest else rows.distinct()
+    one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys,
+        *[F.col(f"_r.{c}").alias(c) for c in rest]) if rest else rows.distinct()
     cond = F.lit(True)
     s = stored.select(*[F.col(k).alias(f"_{k}") for k in keys])
     for k in keys:

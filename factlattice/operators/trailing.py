@@ -18,7 +18,8 @@ def daily(events: DataFrame, entity: str, at: str, amount: str) -> DataFrame:
     """(entity, day, total, n): one row for each day with an event; a null amount counts as 0; rows without entity or time are left out."""
     day = F.to_date(F.col(at))
     ok = events.where(F.col(entity).isNotNull() & F.col(at).isNotNull())
-    return ok.groupBy(F.col(entity).alias("entity"), day.alias("day")).agg(F.sum(F.coalesce(F.col(amount), F.lit(0))).alias("total"), F.count(F.lit(1)).alias("n"))
+    return ok.groupBy(F.col(entity).alias("entity"), day.alias("day")).agg(F.sum(F.coalesce(F.col(amount), F.lit(0))).alias("total"),
+        F.count(F.lit(1)).alias("n"))
 
 
 def calendar(days: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def calendar(days: DataFrame) -> DataFrame:
     grid = known.withColumn("day", F.explode(F.sequence("_day", F.coalesce(F.date_sub("_next", 1), F.col("_day")))))
     own = F.col("day") == F.col("_day")
     zero = F.lit(0)
-    return grid.select("entity", "day", F.datediff("day", "_first").alias("i"), F.when(own, F.col("total")).otherwise(zero).alias("total"), F.when(own, F.col("n")).otherwise(zero).alias("n"))
+    return grid.select("entity", "day", F.datediff("day", "_first").alias("i"), F.when(own, F.col("total")).otherwise(zero).alias("total"),
+        F.when(own, F.col("n")).otherwise(zero).alias("n"))
 
 
 def trailing(cal: DataFrame, windows: Sequence[int], value: str = "total") -> DataFrame:

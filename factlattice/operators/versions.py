@@ -13,7 +13,8 @@ def to_versions(observations: DataFrame, keys: list[str], at: str, value: str, i
     """
     w = Window.partitionBy(*keys).orderBy(at, value)
     new = F.when(F.row_number().over(w) == 1, 1).when(~F.col(value).eqNullSafe(F.lag(value).over(w)), 1).otherwise(0)
-    runs = observations.select(*keys, at, value).withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = observations.select(*keys, at, value).withColumn("_new", new).withColumn("_run",
+        F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     v = runs.groupBy(*keys, "_run").agg(F.first(value).alias(value), F.min(at).alias("valid_from"), F.count(F.lit(1)).alias("observations"))
     return v.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("_run"))).drop("_run")
 
@@ -30,7 +31,8 @@ def append(open_versions: DataFrame, drafts: DataFrame, keys: list[str], value:
     none = F.lit(None).cast(dict(open_versions.dtypes)["valid_from"])
     row = lambda v, f, t, o: F.struct(v.alias(value), f.alias("valid_from"), t.alias("valid_to"), F.lit(o).alias("outcome"))
     out = (
-        F.when(F.col("_got").isNull(), F.array(row(F.col("_old"), F.col("_from"), none, "KEPT"))).when(same, F.array(row(F.col("_old"), F.col("_from"), none, "UNCHANGED")))
+        F.when(F.col("_got").isNull(), F.array(row(F.col("_old"), F.col("_from"), none, "KEPT"))).when(same,
+        F.array(row(F.col("_old"), F.col("_from"), none, "UNCHANGED")))
         .when(F.col("_has").isNull(), F.array(row(F.col("_new"), F.col("_at"), none, "CREATED")))
         .otherwise(F.array(row(F.col("_old"), F.col("_from"), F.col("_at"), "CLOSED"), row(F.col("_new"), F.col("_at"), none, "CREATED")))
     )
@@ -42,4 +44,5 @@ def retract(versions: DataFrame, targets: DataFrame, keys: list[str], at: str) -
     hit = versions.join(targets.select(*keys).distinct().withColumn("_hit", F.lit(True)), keys, "left")
     do = F.col("_hit") & F.col("valid_to").isNull()
     when = F.lit(at).cast(dict(versions.dtypes)["valid_to"])
-    return hit.withColumns({"valid_to": F.when(do, when).otherwise(F.col("valid_to")), "status": F.when(do, "RETRACTED").otherwise(F.col("status"))}).drop("_hit")
+    return hit.withColumns({"valid_to": F.when(do, when).otherwise(F.col("valid_to")),
+        "status": F.when(do, "RETRACTED").otherwise(F.col("status"))}).drop("_hit")

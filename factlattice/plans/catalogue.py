@@ -5,5 +5,6 @@ from __future__ import annotations
 from factlattice.plans import core_problems as core
 from factlattice.plans import core_sql, files, forms, more, relational, scalars
 
-QUERIES = {n: getattr(core, n) for n in ("p1_found", "p1_values", "p3_found", "p3_totals", "p4_found", "p4_history", "p5_found")} | relational.query.queries | scalars.query.queries | forms.query.queries | more.query.queries | files.query.queries
+QUERIES = {n: getattr(core, n) for n in ("p1_found", "p1_values", "p3_found", "p3_totals", "p4_found", "p4_history",
+    "p5_found")} | relational.query.queries | scalars.query.queries | forms.query.queries | more.query.queries | files.query.queries
 SQL = core_sql.SQL | relational.query.sql | scalars.query.sql | forms.query.sql | more.query.sql | files.query.sql

@@ -22,7 +22,8 @@ def p3_totals(spark: SparkSession, root: str) -> DataFrame:
     """Totals and averages of rows served over 7 and 30 days, for every tenant and UTC day from its first to its last message."""
     t = trailing.trailing_totals(_usage(spark, root), "tenant_id", "occurred_at", "rows_served", WINDOWS)
     return t.select(
-        F.col("entity").alias("tenant_id"), F.date_format("day", "yyyy-MM-dd").alias("usage_day"), F.col("total").alias("rows_day"), F.col("n").alias("messages"),
+        F.col("entity").alias("tenant_id"), F.date_format("day", "yyyy-MM-dd").alias("usage_day"), F.col("total").alias("rows_day"),
+        F.col("n").alias("messages"),
         "sum_7", F.round("avg_7", 6).alias("avg_7"), "sum_30", F.round("avg_30", 6).alias("avg_30"),
     )
 
@@ -64,6 +65,8 @@ def p1_values(spark: SparkSession, root: str) -> DataFrame:
     """Every measured value in the common unit, with the unit taken, whether its size decided, and the flag of uncertainty."""
     q = _quantities(spark, root)
     return q.select(
-        "record_table", "record_id", "field", F.col("_quantity").alias("quantity"), F.round("_common", 6).alias("common_value"), quantities.common_unit(F.col("_quantity")).alias("common_unit"),
-        F.col("_unit").alias("recorded_unit"), F.col("_by_size").alias("by_size"), F.round("_posterior", 4).alias("posterior"), quantities.uncertain().alias("uncertain"),
+        "record_table", "record_id", "field", F.col("_quantity").alias("quantity"), F.round("_common", 6).alias("common_value"),
+        quantities.common_unit(F.col("_quantity")).alias("common_unit"),
+        F.col("_unit").alias("recorded_unit"), F.col("_by_size").alias("by_size"), F.round("_posterior", 4).alias("posterior"),
+        quantities.uncertain().alias("uncertain"),
     )

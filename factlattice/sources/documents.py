@@ -167,7 +167,8 @@ def html_records(pages: DataFrame, record: str, fields: dict[str, tuple], key: s
             yield pd.DataFrame(out, columns=["key", "ordinal", "path", "values"])
 
     kind = pages.schema[key].dataType.simpleString()
-    got = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"key {kind}, ordinal int, path string, values map<string,array<string>>")
+    got = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run,
+        f"key {kind}, ordinal int, path string, values map<string,array<string>>")
     return got.withColumnRenamed("key", key)
 
 
@@ -191,7 +192,8 @@ def suggest_records(pages: DataFrame, key: str = "page_id", html: str = "html",
             yield pd.DataFrame(out, columns=["key", "selector", "count", "score"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"key {kind}, selector string, count long, score double").withColumnRenamed("key", key)
+    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run,
+        f"key {kind}, selector string, count long, score double").withColumnRenamed("key", key)
 
 
 def label_lines(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -211,7 +213,8 @@ MAX_MEMBERS, MAX_MEMBER_BYTES, MAX_RATIO = 2000, 256 << 20, 200
 
 
 def safe_member(name: str) -> bool:
-    return bool(name) and not name.startswith(("/", "\\")) and ".." not in re.split(r"[/\\]", name) and "\x00" not in name and not re.match(r"^[A-Za-z]:", name)
+    return bool(name) and not name.startswith(("/", "\\")) and ".." not in re.split(r"[/\\]",
+        name) and "\x00" not in name and not re.match(r"^[A-Za-z]:", name)
 
 
 def zip_members(files: DataFrame, pattern: str, path: str = "path", content: str = "content") -> DataFrame:
@@ -263,14 +266,16 @@ def robots_rules(lines: DataFrame, agent: str) -> DataFrame:
     ``lines(line, value)``; one small file, so its order is a window over it."""
     from pyspark.sql import Window
 
-    kv = lines.select("line", F.lower(F.trim(F.regexp_extract("value", r"^\s*([A-Za-z-]+)\s*:", 1))).alias("k"), F.trim(F.regexp_replace(F.regexp_extract("value", r"^\s*[A-Za-z-]+\s*:(.*)$", 1), r"#.*$", "")).alias("v")).where("k <> ''")
+    kv = lines.select("line", F.lower(F.trim(F.regexp_extract("value", r"^\s*([A-Za-z-]+)\s*:", 1))).alias("k"),
+        F.trim(F.regexp_replace(F.regexp_extract("value", r"^\s*[A-Za-z-]+\s*:(.*)$", 1), r"#.*$", "")).alias("v")).where("k <> ''")
     w = Window.partitionBy(F.lit(1)).orderBy("line")
     start = (F.col("k") == "user-agent") & (F.coalesce(F.lag("k").over(w), F.lit("")) != "user-agent")
     g = kv.withColumn("_s", start.cast("int")).withColumn("grp", F.sum("_s").over(w))
     agents = g.where("k = 'user-agent'").select("grp", F.lower("v").alias("a"))
     named, star = agents.where(F.col("a") == agent.lower()).select("grp"), agents.where("a = '*'").select("grp")
     pick = named if not named.isEmpty() else star
-    return g.join(pick.distinct(), "grp", "left_semi").where("k in ('allow', 'disallow') and v <> ''").select((F.col("k") == "allow").alias("allow"), F.col("v").alias("pattern"))
+    return g.join(pick.distinct(), "grp", "left_semi").where("k in ('allow', 'disallow') and v <> ''").select((F.col("k") == "allow").alias("allow"),
+        F.col("v").alias("pattern"))
 
 
 def robots_pattern(pattern: str) -> str:

@@ -30,7 +30,8 @@ def parse_locator(c: Column) -> Column:
     return F.transform_values(m, lambda k, v: plain(v))
 
 
-def read_csv(spark: SparkSession, path: str, preamble: str | None = None, header: bool | list[str] = True, sep: str = ",", where: tuple[str, list[str]] | None = None, columns: list[str] | None = None, line_breaks: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, preamble: str | None = None, header: bool | list[str] = True, sep: str = ",",
+    where: tuple[str, list[str]] | None = None, columns: list[str] | None = None, line_breaks: bool = True) -> DataFrame:
     """A CSV source: all columns as text, blanks trimmed, ``ordinal`` 1, 2, 3 ... in file order whatever the number of splits.
 
     ``preamble``: a pattern; the leading lines that match it are skipped, later ones aren't. ``where``: keep rows whose column has
@@ -41,8 +42,10 @@ def read_csv(spark: SparkSession, path: str, preamble: str | None = None, header
     from factlattice.operators.ordering import running
 
     if preamble is None and header is True:
-        df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-        df = running(df.withColumn("_line", F.monotonically_increasing_id()), ["_line"]).withColumn("ordinal", F.col("rank") + 1).drop("rank", "_line")
+        df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks, ignoreLeadingWhiteSpace=True,
+            ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
+        df = running(df.withColumn("_line", F.monotonically_increasing_id()), ["_line"]).withColumn("ordinal", F.col("rank") + 1).drop("rank",
+            "_line")
     else:
         lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("line"))
         if preamble is not None:
@@ -58,7 +61,8 @@ def read_csv(spark: SparkSession, path: str, preamble: str | None = None, header
             names = [n.strip('"') for n in names]
             lines = lines.where(F.col("line") > head.line)
         schema = ", ".join(f"`{n}` string" for n in names)
-        parsed = lines.select("line", F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
+        parsed = lines.select("line", F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true",
+            "ignoreTrailingWhiteSpace": "true"}).alias("r"))
         df = running(parsed, ["line"]).select("r.*", (F.col("rank") + 1).alias("ordinal"))
     if where is not None:
         if where[0] not in df.columns:
@@ -81,7 +85,8 @@ def read_json_records(spark: SparkSession, path: str, pointer: str, record_schem
     text = spark.read.text(path, wholetext=True)
     node = F.get_json_object("value", "$" + "".join(f"['{s}']" if not s.isdigit() else f"[{s}]" for s in steps))
     got = text.select(node.alias("node")).where("node is not null")
-    listed = F.when(F.trim("node").startswith("["), F.from_json("node", f"array<{record_schema}>")).otherwise(F.array(F.from_json("node", record_schema)))
+    listed = F.when(F.trim("node").startswith("["), F.from_json("node", f"array<{record_schema}>")).otherwise(F.array(F.from_json("node",
+        record_schema)))
     return got.select(F.posexplode(listed).alias("ordinal", "record"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from factlattice.functions.ids import canonical_uuid
 
 # The fields of a message; old messages lack the first and the last two.
-FIELDS = ("schema_version", "id", "tenant_id", "api_key_id", "vertical_id", "occurred_at", "route_key", "method", "status", "rows_served", "duration_ms", "access_tier", "billing_source")
+FIELDS = ("schema_version", "id", "tenant_id", "api_key_id", "vertical_id", "occurred_at", "route_key", "method", "status", "rows_served",
+    "duration_ms", "access_tier", "billing_source")
 LEGACY = tuple(f for f in FIELDS if f not in ("schema_version", "access_tier", "billing_source"))
 SCHEMA = "schema_version int, id string, tenant_id string, api_key_id string, vertical_id string, occurred_at timestamp, route_key string, method string, status int, rows_served int, duration_ms int, access_tier string, billing_source string"
 
@@ -18,7 +19,8 @@ def parse(messages: DataFrame, body: str = "body") -> DataFrame:
     keys = F.array_sort(F.json_object_keys(body))
     known = lambda fields: keys == F.array(*[F.lit(f) for f in sorted(fields)])
     e = messages.withColumn("_e", F.from_json(body, SCHEMA))
-    ok = F.coalesce((known(FIELDS) | known(LEGACY)) & F.col("_e.id").isNotNull() & F.col("_e.tenant_id").isNotNull() & F.col("_e.occurred_at").isNotNull(), F.lit(False))
+    ok = F.coalesce((known(FIELDS) | known(LEGACY)) & F.col("_e.id").isNotNull() & F.col("_e.tenant_id").isNotNull()
+        & F.col("_e.occurred_at").isNotNull(), F.lit(False))
     return e.select(*messages.columns, "_e.*", (~ok).alias("malformed"))
 
 
@@ -34,7 +36,8 @@ def month(at: Column) -> Column:
 def monthly(events: DataFrame) -> DataFrame:
     """(tenant_id, month, events, rows_served) of events that didn't fail (status below 500); batch or stream."""
     ok = events.where(F.col("status") < 500)
-    return ok.groupBy("tenant_id", month(F.col("occurred_at")).alias("month")).agg(F.count(F.lit(1)).alias("events"), F.sum(F.coalesce("rows_served", F.lit(0))).cast("bigint").alias("rows_served"))
+    return ok.groupBy("tenant_id", month(F.col("occurred_at")).alias("month")).agg(F.count(F.lit(1)).alias("events"),
+        F.sum(F.coalesce("rows_served", F.lit(0))).cast("bigint").alias("rows_served"))
 
 
 def run_once(stream: DataFrame, table_path: str, quarantine_path: str, checkpoint: str):

@@ -54,7 +54,9 @@ def main():
 
     import __spark_entry__ as e
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory",
+        "6g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress",
+        "false").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     root, names = sys.argv[1], sys.argv[2:]
     con, q, sql = connect(root), e.queries(), e.oracle_sql()

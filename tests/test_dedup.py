@@ -17,7 +17,9 @@ def frame(spark, rows):
 def test_copies_by_spelling_message_and_ties(spark):
     u = "1b4e28ba-2fa1-11d2-883f-0016d3cca427"
     rows = [
-        (1, "m1", T0, u), (2, "m2", T0, u.upper()), (3, "m3", T0 - timedelta(1), "{" + u + "}"), (4, "m4", None, u.replace("-", "")), (5, "m1", T0, None), (6, "m1", T0, None), (7, None, T0, None), (8, None, T0, None), (9, "m9", T0, "not-hex"), (10, "m10", T0, "NOT-HEX "), (11, "", T0, ""),
+        (1, "m1", T0, u), (2, "m2", T0, u.upper()), (3, "m3", T0 - timedelta(1), "{" + u + "}"), (4, "m4", None, u.replace("-", "")),
+        (5, "m1", T0, None), (6, "m1", T0, None), (7, None, T0, None), (8, None, T0, None), (9, "m9", T0, "not-hex"), (10, "m10", T0, "NOT-HEX "),
+        (11, "", T0, ""),
     ]
     got = {r[0] for r in dedup.repeated_copies(frame(spark, rows)).collect()}
     assert got == {1, 2, 4, 6, 10}
@@ -29,7 +31,8 @@ def test_repeated_row_is_one_delivery_and_null_key_is_left_out(spark):
 
 
 def test_any_bigint_and_any_time(spark):
-    rows = [(-5, "m", T0, None), (-(2**63), "m", T0, None), (2**63 - 1, "m", T0, None), (7, "m", datetime(1, 1, 2), None), (8, "m", datetime(9999, 12, 31), None), (9, "m", None, None)]
+    rows = [(-5, "m", T0, None), (-(2**63), "m", T0, None), (2**63 - 1, "m", T0, None), (7, "m", datetime(1, 1, 2), None),
+        (8, "m", datetime(9999, 12, 31), None), (9, "m", None, None)]
     assert {r[0] for r in dedup.repeated_copies(frame(spark, rows)).collect()} == {-5, -(2**63), 2**63 - 1, 8, 9}
     assert {r[0] for r in dedup.repeated_copies(frame(spark, rows[:3])).collect()} == {-5, 2**63 - 1}
 
@@ -50,7 +53,8 @@ def test_permutation_is_a_bijection_and_spreads(spark):
 def test_against_brute_force_with_a_hot_message(spark):
     rng = random.Random(3)
     ids = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(300)]
-    rows = [(i, f"q-{rng.randrange(40)}", T0 + timedelta(seconds=rng.randrange(50)), (ids[0] if i % 3 == 0 else rng.choice(ids)) if i % 11 else None) for i in range(3000)]
+    rows = [(i, f"q-{rng.randrange(40)}", T0 + timedelta(seconds=rng.randrange(50)),
+        (ids[0] if i % 3 == 0 else rng.choice(ids)) if i % 11 else None) for i in range(3000)]
     best = {}
     for d, m, at, e in rows:
         k = ("e", e) if e else ("m", m)

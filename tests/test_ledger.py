@@ -72,8 +72,10 @@ def test_stored_periods(spark):
 
     a, b, c = d(2026, 1, 1), d(2026, 2, 1), d(2026, 3, 1)
     rows = [
-        ("f1", "e", "p", a, b, a, "SUPERSEDED", None, "x"), ("f1", "e", "p", a, b, a, "SUPERSEDED", None, "x"), ("f2", "e", "p", b, None, b, "SUPERSEDED", "F1", "x"), ("f3", "e", "p", c, None, c, "ACTIVE", "f1", "x"),
-        ("f4", "e", "p", b, None, b, "RETRACTED", None, "x"), ("g1", "e", "q", a, c, a, "ACTIVE", "zz", "x"), (None, "e", "q", a, c, a, "ACTIVE", None, "x"),
+        ("f1", "e", "p", a, b, a, "SUPERSEDED", None, "x"), ("f1", "e", "p", a, b, a, "SUPERSEDED", None, "x"),
+        ("f2", "e", "p", b, None, b, "SUPERSEDED", "F1", "x"), ("f3", "e", "p", c, None, c, "ACTIVE", "f1", "x"),
+        ("f4", "e", "p", b, None, b, "RETRACTED", None, "x"), ("g1", "e", "q", a, c, a, "ACTIVE", "zz", "x"),
+        (None, "e", "q", a, c, a, "ACTIVE", None, "x"),
     ]
     got = {tuple(r) for r in history.period_errors(spark.createDataFrame(rows, schema)).collect()}
     assert got == {("f2", "valid_to"), ("f3", "supersedes_fact_id"), ("g1", "supersedes_fact_id")}

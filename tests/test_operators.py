@@ -39,13 +39,18 @@ def test_cascade_steps(spark):
 
     t, u = d(2026, 1, 1), d(2026, 1, 2)
     rows = [
-        ("a", "p", "c1", "s1", "x", 5, 0.1, t, True), ("b", "p", "c2", "s1", "x", 5, 0.1, t, True), ("b", "p", "c3", "s2", "y", 9, 0.1, t, True), ("b", "p", "c4", "s2", "z", 99, 0.1, t, False),
-        ("c", "p", "c5", "s1", "x", 5, 0.1, t, True), ("c", "p", "c6", "s2", "x", 5, 0.9, t, True), ("d", "p", "c7", "s1", "x", 5, 0.1, t, True), ("d", "p", "c8", "s2", "y", 5, 0.1, u, True),
-        ("e", "p", "c9", "s1", "x", 5, 0.1, t, True), ("e", "p", "c10", "s2", "x", 5, 0.1, t, True), ("e", "p", "c11", "s1", "y", 5, 0.1, t, True), ("f", "p", "c12", "s1", "bad", 5, None, None, True), ("f", "p", "c13", "s2", "good", 5, None, None, True),
+        ("a", "p", "c1", "s1", "x", 5, 0.1, t, True), ("b", "p", "c2", "s1", "x", 5, 0.1, t, True), ("b", "p", "c3", "s2", "y", 9, 0.1, t, True),
+        ("b", "p", "c4", "s2", "z", 99, 0.1, t, False),
+        ("c", "p", "c5", "s1", "x", 5, 0.1, t, True), ("c", "p", "c6", "s2", "x", 5, 0.9, t, True), ("d", "p", "c7", "s1", "x", 5, 0.1, t, True),
+        ("d", "p", "c8", "s2", "y", 5, 0.1, u, True),
+        ("e", "p", "c9", "s1", "x", 5, 0.1, t, True), ("e", "p", "c10", "s2", "x", 5, 0.1, t, True), ("e", "p", "c11", "s1", "y", 5, 0.1, t, True),
+        ("f", "p", "c12", "s1", "bad", 5, None, None, True), ("f", "p", "c13", "s2", "good", 5, None, None, True),
     ]
-    df = spark.createDataFrame(rows, "entity string, property string, claim string, source string, value string, authority int, reliability double, observed timestamp_ntz, eligible boolean")
+    df = spark.createDataFrame(rows,
+        "entity string, property string, claim string, source string, value string, authority int, reliability double, observed timestamp_ntz, eligible boolean")
     got = {r.entity: (r.claim, r.rule, r.candidates, r.conflicts) for r in selection.cascade(df.repartition(3), F.col("value") != "bad").collect()}
-    assert got == {"a": ("c1", "SOLE_ELIGIBLE_CANDIDATE", 1, 0), "b": ("c3", "AUTHORITY", 2, 1), "c": ("c6", "RELIABILITY", 2, 0), "d": ("c8", "RECENCY", 2, 1), "e": ("c10", "TIEBREAK", 3, 1), "f": ("c13", "CONSISTENCY", 2, 1)}
+    assert got == {"a": ("c1", "SOLE_ELIGIBLE_CANDIDATE", 1, 0), "b": ("c3", "AUTHORITY", 2, 1), "c": ("c6", "RELIABILITY", 2, 0),
+        "d": ("c8", "RECENCY", 2, 1), "e": ("c10", "TIEBREAK", 3, 1), "f": ("c13", "CONSISTENCY", 2, 1)}
 
 
 def test_chains_with_cycles_and_long_ones(spark):
@@ -70,17 +75,21 @@ def test_joins_and_versions(spark):
     a = spark.createDataFrame([(1, "x"), (2, "q")], "id int, code string")
     t = spark.createDataFrame([("x", "x", 1), ("y", "x", 2), ("q", "r", 3)], "name string, display string, n int")
     assert {(r.id, r.n) for r in relational.either(a, t, "code", ["name", "display"]).collect()} == {(1, 1), (1, 2), (2, 3)}
-    v = spark.createDataFrame([("k", 1, "open"), ("j", 2, "open")], "k string, valid_to int, status string").withColumn("valid_to", F.lit(None).cast("timestamp"))
+    v = spark.createDataFrame([("k", 1, "open"), ("j", 2, "open")], "k string, valid_to int, status string").withColumn("valid_to",
+        F.lit(None).cast("timestamp"))
     r = {x.k: (x.status, x.valid_to is None) for x in versions.retract(v, spark.createDataFrame([("k",)], "k string"), ["k"], "2026-01-01").collect()}
     assert r == {"k": ("RETRACTED", False), "j": ("open", True)}
     items = spark.createDataFrame([("i1", "A"), ("i2", "B"), ("i3", "C"), ("i4", None)], "item string, candidate string")
     keys = spark.createDataFrame([("model", "A", "e1"), ("model", "B", "e1"), ("upc", "B", "e2")], "kind string, value string, entity_id string")
-    assert {x.item: x.outcome for x in resolve.screen(items, keys).collect()} == {"i1": "MATCHED", "i2": "AMBIGUOUS", "i3": "NOT_FOUND", "i4": "NO_CODE"}
+    assert {x.item: x.outcome for x in resolve.screen(items, keys).collect()} == {"i1": "MATCHED", "i2": "AMBIGUOUS", "i3": "NOT_FOUND",
+        "i4": "NO_CODE"}
     blocks = spark.createDataFrame([(i, ["big" if i < 9 else "s"]) for i in range(11)], "id int, keys array<string>")
     with pytest.raises(Exception, match="above the limit"):
         relational.blocking_pairs(blocks, F.col("keys"), max_block=5).count()
-    assert relational.blocking_pairs(blocks, F.col("keys"), max_block=9).count() == 37 and relational.oversized_blocks(blocks, F.col("keys"), 5).first()[:] == ("big", 9)
-    both = relational.compare(spark.createDataFrame([("e", "p", "1"), ("f", "p", "1"), ("e", "q", "2")], "entity_id string, property string, v string"), ["e", "f"], F.col("v"))
+    assert relational.blocking_pairs(blocks, F.col("keys"), max_block=9).count() == 37 and relational.oversized_blocks(blocks, F.col("keys"),
+        5).first()[:] == ("big", 9)
+    both = relational.compare(spark.createDataFrame([("e", "p", "1"), ("f", "p", "1"), ("e", "q", "2")],
+        "entity_id string, property string, v string"), ["e", "f"], F.col("v"))
     assert {(x.property, x.differs) for x in both.collect()} == {("p", False), ("q", True)}
 
 
@@ -109,7 +118,8 @@ def test_either_keeps_repeated_rows(spark):
 
 
 def test_a_chain_of_a_hundred_thousand_links(spark):
-    links = spark.range(100_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(None, 5), (7_000_000, None)], "src bigint, dst bigint"))
+    links = spark.range(100_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(None, 5),
+        (7_000_000, None)], "src bigint, dst bigint"))
     r = graph.resolve_chains(links).where("src in (0, 99999)").collect()
     assert {(x.src, x.target, x.hops) for x in r} == {(0, 100_000, 100_000), (99_999, 100_000, 1)}
 

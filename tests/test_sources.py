@@ -23,7 +23,8 @@ def test_json_pointer_and_paths(spark, tmp_path):
     assert [(x.ordinal, x.record.x) for x in r] == [(0, 1), (1, 2)]
     doc = spark.createDataFrame([('{"p": [{"n": "a"}, {"n": "b"}, {}]}',)], "v string")
     assert doc.select(tabular.json_values(F.col("v"), ["p", "*", "n"]).alias("r")).first().r == ["a", "b"]
-    assert doc.select(tabular.pick(F.array(F.lit("a"), F.lit("b")), "single"), tabular.pick(F.array(F.lit("a"), F.lit("b")), "join")).first()[:] == (None, "a, b")
+    assert doc.select(tabular.pick(F.array(F.lit("a"), F.lit("b")), "single"),
+        tabular.pick(F.array(F.lit("a"), F.lit("b")), "join")).first()[:] == (None, "a, b")
 
 
 def test_sinks(spark, tmp_path):
@@ -36,16 +37,19 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="finite"):
         tabular.jsonl_lines(spark.createDataFrame([(float("nan"),)], "x double")).collect()
     loc = spark.range(1).select(tabular.locator(row=F.lit(3), column=F.lit("a=b;c%"), gone=F.lit(None)).alias("l"))
-    assert loc.first().l == "row=3;column=a%3Db%3Bc%25" and loc.select(tabular.parse_locator(F.col("l")).alias("m")).first().m == {"row": "3", "column": "a=b;c%"}
+    assert loc.first().l == "row=3;column=a%3Db%3Bc%25" and loc.select(tabular.parse_locator(F.col("l")).alias("m")).first().m == {"row": "3",
+        "column": "a=b;c%"}
 
 
 PAGE = """<html><body><nav><a href="/x">x</a></nav><article class="card" data-item="7"><h2 class="t">One</h2><dl><dt>Brand:</dt><dd>Acme</dd><dt>Item #</dt><dd>24-a</dd></dl></article>
-<article class="card" data-item="8"><h2 class="t">Two &amp; more</h2><table><tr><th>Weight</th><td>5 lb</td></tr></table></article><article class="card"><h2>Three</h2></article></body></html>"""
+<article class="card" data-item="8"><h2 class="t">Two &amp; more</h2><table><tr><th>Weight</th><td>5 lb</td></tr></table></article><article
+class="card"><h2>Three</h2></article></body></html>"""
 
 
 def test_html(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id bigint, html string")
-    fields = {"title": ("css", "h2.t", None), "item": ("css", None, "data-item"), "brand": ("dl", "brand", "exact"), "weight": ("table", "weight", "prefix")}
+    fields = {"title": ("css", "h2.t", None), "item": ("css", None, "data-item"), "brand": ("dl", "brand", "exact"),
+        "weight": ("table", "weight", "prefix")}
     r = documents.html_records(pages, "article.card", fields).orderBy("ordinal").collect()
     assert [x["values"]["title"] for x in r] == [["One"], ["Two & more"], []]
     assert r[0]["values"]["brand"] == ["Acme"] and r[1]["values"]["weight"] == ["5 lb"] and r[0]["values"]["item"] == ["7"]
@@ -63,33 +67,40 @@ def test_lines_zip_robots_and_targets(spark):
     evil = io.BytesIO()
     with zipfile.ZipFile(evil, "w") as z:
         z.writestr("../a.csv", "x")
-    files = spark.createDataFrame([("ok", b.getvalue()), ("evil", evil.getvalue()), ("text", b"hello"), ("null", None)], "path string, content binary")
+    files = spark.createDataFrame([("ok", b.getvalue()), ("evil", evil.getvalue()), ("text", b"hello"), ("null", None)],
+        "path string, content binary")
     got = {(r.path, r.member, r.issue) for r in documents.zip_members(files, "*.csv").collect()}
     assert got == {("ok", "d/a.csv", None), ("evil", None, "UNSAFE_NAME"), ("text", None, "NOT_A_ZIP"), ("null", None, "NOT_A_ZIP")}
-    robots = spark.createDataFrame(list(enumerate(["User-agent: *", "Disallow: /", "User-agent: Bot", "User-agent: Other", "Allow: /a # x", "Disallow: /b*$"])), "line int, value string")
+    robots = spark.createDataFrame(list(enumerate(["User-agent: *", "Disallow: /", "User-agent: Bot", "User-agent: Other", "Allow: /a # x",
+        "Disallow: /b*$"])), "line int, value string")
     assert {tuple(r) for r in documents.robots_rules(robots, "bot").collect()} == {(True, "/a"), (False, "/b*$")}
     assert documents.robots_pattern("/b*$") == "^/b.*$"
-    urls = spark.createDataFrame([("https://a/x", "2026-01-02"), ("https://a/x/no", "2026-01-02"), ("https://b", "2026-01-02"), ("https://a/y", "2025-01-01")], "loc string, lastmod string")
+    urls = spark.createDataFrame([("https://a/x", "2026-01-02"), ("https://a/x/no", "2026-01-02"), ("https://b", "2026-01-02"),
+        ("https://a/y", "2025-01-01")], "loc string, lastmod string")
     plan = documents.plan_targets(urls, ["https://a"], ["https://a/x/no"], "2025-06-01")
     assert [r.reason for r in plan.collect()] == ["PLANNED", "ROBOTS", "NOT_ALLOWED", "UNCHANGED"]
 
 
 def test_sitemap(spark, tmp_path):
     (tmp_path / "s.xml").write_text("<urlset><url><loc> https://a/x </loc><lastmod>2026-01-02</lastmod></url><url><loc>https://a/y</loc></url></urlset>")
-    assert {tuple(r) for r in documents.read_sitemap(spark, str(tmp_path / "s.xml")).collect()} == {("https://a/x", "2026-01-02"), ("https://a/y", None)}
+    assert {tuple(r) for r in documents.read_sitemap(spark, str(tmp_path / "s.xml")).collect()} == {("https://a/x", "2026-01-02"),
+        ("https://a/y", None)}
 
 
 def message(i, **extra):
-    e = {"id": f"1b4e28ba-2fa1-11d2-883f-0016d3cca4{i:02x}", "tenant_id": "t", "api_key_id": "k", "vertical_id": "v", "occurred_at": "2026-01-02T03:04:05Z", "route_key": "r", "method": "GET", "status": 200, "rows_served": i, "duration_ms": 1}
+    e = {"id": f"1b4e28ba-2fa1-11d2-883f-0016d3cca4{i:02x}", "tenant_id": "t", "api_key_id": "k", "vertical_id": "v",
+        "occurred_at": "2026-01-02T03:04:05Z", "route_key": "r", "method": "GET", "status": 200, "rows_served": i, "duration_ms": 1}
     return json.dumps(e | extra)
 
 
 def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    first = [message(1), message(1).upper().replace("\"ID\"", '"id"'), message(2), "not json", message(3, surprise=1), message(4, schema_version=2, access_tier="a", billing_source="b")]
+    first = [message(1), message(1).upper().replace("\"ID\"", '"id"'), message(2), "not json", message(3, surprise=1),
+        message(4, schema_version=2, access_tier="a", billing_source="b")]
     (src / "1.txt").write_text("\n".join(first))
-    stream = lambda: spark.readStream.schema("body string").text(str(src)).withColumnRenamed("value", "body") if False else spark.readStream.text(str(src)).withColumnRenamed("value", "body")
+    stream = lambda: spark.readStream.schema("body string").text(str(src)).withColumnRenamed("value",
+        "body") if False else spark.readStream.text(str(src)).withColumnRenamed("value", "body")
     args = (str(tmp_path / "t"), str(tmp_path / "q"), str(tmp_path / "c"))
     usage.run_once(stream(), *args).awaitTermination()
     (src / "2.txt").write_text("\n".join([message(2), message(5)]))

@@ -11,7 +11,8 @@ def test_windows_move_and_wrap():
     assert sync.rolling_windows("2026-06-30", None, "2026-01-01") == [("recent", "2026-05-16", "2026-06-30"), ("history", "2026-01-01", "2026-04-30")]
     assert sync.rolling_windows("2026-06-30", "2026-05-01", "2026-01-01")[1] == ("history", "2026-05-01", "2026-05-16")
     assert sync.rolling_windows("2026-06-30", "2026-05-20", "2026-01-01")[1] == ("history", "2026-01-01", "2026-04-30")
-    assert sync.year_windows(1980, 1993, [(1980, 1989), (1990, 1991)]) == [("1980-01-01", "1989-12-31"), ("1990-01-01", "1991-12-31"), ("1992-01-01", "1992-12-31"), ("1993-01-01", "1993-12-31")]
+    assert sync.year_windows(1980, 1993, [(1980, 1989), (1990, 1991)]) == [("1980-01-01", "1989-12-31"), ("1990-01-01", "1991-12-31"),
+        ("1992-01-01", "1992-12-31"), ("1993-01-01", "1993-12-31")]
 
 
 def test_settled_and_guarded(spark):
@@ -25,7 +26,8 @@ def test_settled_and_guarded(spark):
 
 
 def test_affected_levels_and_cycles(spark):
-    d = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("x", "y"), ("y", "x"), (None, "a"), ("q", None)], "derived string, input string")
+    d = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("x", "y"), ("y", "x"), (None, "a"), ("q", None)],
+        "derived string, input string")
     assert {r.node for r in sync.affected(d, spark.createDataFrame([("b",), (None,)], "node string")).collect()} == {"b", "c", "d"}
     assert {r.node for r in sync.affected(d, spark.createDataFrame([("x",)], "node string")).collect()} == {"x", "y"}
     assert sync.affected(d, spark.createDataFrame([], "node string")).count() == 0
@@ -34,7 +36,8 @@ def test_affected_levels_and_cycles(spark):
     with pytest.raises(ValueError, match="cycle"):
         sync.levels(d)
     new = spark.createDataFrame([("a", "d"), ("d", "a"), ("z", "z"), ("z", "a")], "derived string, input string")
-    assert {(r.derived, r.input, r.refused) for r in sync.closes_cycle(good, new).collect()} == {("a", "d", True), ("d", "a", False), ("z", "z", True), ("z", "a", False)}
+    assert {(r.derived, r.input, r.refused) for r in sync.closes_cycle(good, new).collect()} == {("a", "d", True), ("d", "a", False),
+        ("z", "z", True), ("z", "a", False)}
     long = spark.createDataFrame([(i + 1, i) for i in range(40)], "derived int, input int")
     assert sync.affected(long, spark.createDataFrame([(0,)], "node int")).count() == 41
 
@@ -55,19 +58,26 @@ def test_merge_and_insert(spark):
 
 
 def test_canonical_values(spark):
-    cases = [('{"b":1,"a":[1,2]}', '{"a":[1,2],"b":1}', True), ("[1,2]", "[2,1]", False), ("1.0", "1", True), ('"a"', '"A"', False), (None, None, True), (None, "null", False), ("{}", "[]", False)]
+    cases = [('{"b":1,"a":[1,2]}', '{"a":[1,2],"b":1}', True), ("[1,2]", "[2,1]", False), ("1.0", "1", True), ('"a"', '"A"', False),
+        (None, None, True), (None, "null", False), ("{}", "[]", False)]
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string")
     assert [r.s for r in df.select(canonical.same_value(F.col("a"), F.col("b")).alias("s")).collect()] == [s for *_, s in cases]
-    u = spark.createDataFrame([("x", "y"), ("xy", ""), ("x", None)], "a string, b string").select(canonical.derived_uuid(F.col("a"), F.col("b")).alias("u")).collect()
+    u = spark.createDataFrame([("x", "y"), ("xy", ""), ("x", None)],
+        "a string, b string").select(canonical.derived_uuid(F.col("a"), F.col("b")).alias("u")).collect()
     assert u[2].u is None and u[0].u != u[1].u and u[0].u[14] == "5" and u[0].u[19] in "89ab" and len(u[0].u) == 36
 
 
 def test_search_filters(spark):
-    base = spark.createDataFrame([(1, "2026-01-01", "Acme heater", True), (2, "2026-01-02", "acme lamp", False), (3, None, None, None)], "id int, at string, title string, everywhere boolean")
-    keys = spark.createDataFrame([("state", "TX", 2), ("state", "TX", 2), ("state", "CA", 1), ("hazard", "fire", 1), ("hazard", "fire", 2), ("state", None, 3)], "kind string, value string, id int")
+    base = spark.createDataFrame([(1, "2026-01-01", "Acme heater", True), (2, "2026-01-02", "acme lamp", False), (3, None, None, None)],
+        "id int, at string, title string, everywhere boolean")
+    keys = spark.createDataFrame([("state", "TX", 2), ("state", "TX", 2), ("state", "CA", 1), ("hazard", "fire", 1), ("hazard", "fire", 2),
+        ("state", None, 3)], "kind string, value string, id int")
     ids = lambda f: sorted(r.id for r in search.matching(base, keys, f).collect())
-    assert ids(search.Filters()) == [1, 2, 3] and ids(search.Filters(keys={"state": ["TX"]})) == [2] and ids(search.Filters(keys={"state": ["TX"]}, instead={"state": F.col("everywhere")})) == [1, 2]
-    assert ids(search.Filters(keys={"state": ["TX", "CA"], "hazard": ["fire"]}, like={"title": "LAMP"})) == [2] and ids(search.Filters(between={"at": ("2026-01-02", None)})) == [2] and ids(search.Filters(keys={"none": ["x"]})) == []
+    assert ids(search.Filters()) == [1, 2, 3] and ids(search.Filters(keys={"state": ["TX"]})) == [2] and ids(search.Filters(keys={"state": ["TX"]},
+        instead={"state": F.col("everywhere")})) == [1, 2]
+    assert ids(search.Filters(keys={"state": ["TX", "CA"], "hazard": ["fire"]},
+        like={"title": "LAMP"})) == [2] and ids(search.Filters(between={"at": ("2026-01-02",
+        None)})) == [2] and ids(search.Filters(keys={"none": ["x"]})) == []
     index = search.inverted_index(base, "id", {"title": (F.coalesce("title", F.lit("")), 1.0)})
     assert {r.id for r in search.ranked(index, ["ACME", "lamp"]).collect()} == {2} and search.ranked(index, ["absent"]).count() == 0
     tiers = search.tiered(spark.createDataFrame([(2,), (2,)], "id int"), search.ranked(index, ["acme"]))

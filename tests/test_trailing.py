@@ -28,7 +28,8 @@ def run(spark, rows, windows):
 
 def test_against_brute_force(spark):
     rng = random.Random(1)
-    rows = [(rng.choice(["a", "b", "c"]), datetime(2026, 1, 1) + timedelta(days=rng.choice([0, 1, 2, 40, 41, 90, 95]), seconds=rng.randrange(86400)), rng.choice([None, 0, 5, 7, -2])) for _ in range(200)]
+    rows = [(rng.choice(["a", "b", "c"]), datetime(2026, 1, 1) + timedelta(days=rng.choice([0, 1, 2, 40, 41, 90, 95]), seconds=rng.randrange(86400)),
+        rng.choice([None, 0, 5, 7, -2])) for _ in range(200)]
     rows += [(None, datetime(2026, 1, 1), 3), ("a", None, 9), ("d", datetime(2026, 5, 1), 4)]
     for windows in ((7, 30), (1, 2), (3,), (200,)):
         assert run(spark, rows, windows)[0] == brute(rows, windows)

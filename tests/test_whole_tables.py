@@ -9,7 +9,8 @@ from factlattice.plans import catalogue
 
 
 def test_forms_and_keys_of_every_row(spark, tmp_path):
-    rows = [(1, "Élan", "２４ANB-7", "S"), (2, "Аir", "24–ANB 7", "s\u3000"), (3, " B ", "no digit", "T"), (4, None, "АВ12", "T"), (5, "B", None, "T"), (6, "B", "a1", "\u00a0"), (7, "B", "a①", "x")]
+    rows = [(1, "Élan", "２４ANB-7", "S"), (2, "Аir", "24–ANB 7", "s\u3000"), (3, " B ", "no digit", "T"), (4, None, "АВ12", "T"), (5, "B", None, "T"),
+        (6, "B", "a1", "\u00a0"), (7, "B", "a①", "x")]
     spark.createDataFrame(rows, "catalog_id bigint, brand string, model string, series string").write.parquet(str(tmp_path / "acme_catalog.parquet"))
 
     def forms(m):
