@@ -229,19 +229,22 @@ def _fit(q: Quantity, named: dict[int, int], free: dict[int, int]) -> tuple[dict
 
 def _by_source(counts: DataFrame, fitted: DataFrame) -> DataFrame:
     """(_quantity, _source, _bin, _fit, _p, _p_common): the likeliest unit of each bin of a source and its posterior, and that of the
-    common unit. ``counts(_quantity, _source, _bin, n)``, ``fitted(_quantity, _bin, unit, like, weight)``."""
-    near = counts.join(F.broadcast(fitted), ["_quantity", "_bin"])  # a bin has as many rows as units that can be
-    key = ["_quantity", "_source", "_bin"]
-    share = F.col("like") * F.col("weight")
-    part = near.join(near.groupBy(*key).agg(F.sum(share).alias("all")), key).withColumn("r", F.col("n") * share / F.col("all"))
-    own = part.groupBy("_quantity", "_source", "unit").agg(F.sum("r").alias("r"))
-    own = own.select("_quantity", "_source", "unit", "r")
-    p = near.join(own, ["_quantity", "_source", "unit"]).withColumn("p", F.col("like") * (F.col("r") + F.lit(SOURCE_PRIOR) * F.col("weight")))
+    common unit. ``counts(_quantity, _source, _bin, n)``, ``fitted(_quantity, _bin, units ARRAY<STRUCT<unit, like, weight>>)``."""
+    near = counts.join(F.broadcast(fitted), ["_quantity", "_bin"])
+    add = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, u: a + f(u))
+    all_ = add("units", lambda u: u["like"] * u["weight"])
+    shares = F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), (F.col("n") * u["like"] * u["weight"] / F.col("all")).alias("r")))
+    part = near.withColumn("all", all_).select("_quantity", "_source", F.explode(shares).alias("s"))
+    own = part.groupBy("_quantity", "_source", "s.unit").agg(F.sum("s.r").alias("r"))
+    own = own.groupBy("_quantity", "_source").agg(F.map_from_entries(F.collect_list(F.struct("unit", "r"))).alias("own"))  # five units at most
     common = common_unit(F.col("_quantity"))
-    best = p.groupBy(*key).agg(F.max(F.struct("p", (F.col("unit") == common).alias("c"), "unit")).alias("b"), F.sum("p").alias("all"),
-        F.sum(F.when(F.col("unit") == common, F.col("p")).otherwise(0.0)).alias("pc"))
-    return best.select(*key, F.col("b.unit").alias("_fit"), (F.col("b.p") / F.col("all")).alias("_p"),
-        (F.col("pc") / F.col("all")).alias("_p_common"))
+    score = lambda u: u["like"] * (F.coalesce(F.col("own")[u["unit"]], F.lit(0.0)) + F.lit(SOURCE_PRIOR) * u["weight"])
+    scored = F.transform("units", lambda u: F.struct(score(u).alias("p"), (u["unit"] == common).alias("c"), u["unit"].alias("unit")))
+    p = near.join(own, ["_quantity", "_source"]).withColumn("_scored", scored).withColumn("_all", add("_scored", lambda u: u["p"]))
+    best, base = F.array_max("_scored"), add(F.filter("_scored", lambda u: u["c"]), lambda u: u["p"])
+    return p.select(
+        "_quantity", "_source", "_bin", best["unit"].alias("_fit"), (best["p"] / F.col("_all")).alias("_p"), (base / F.col("_all")).alias("_p_common")
+    )
 
 
 def assign_by_size(df: DataFrame, source: str = "_source") -> DataFrame:
@@ -261,8 +264,11 @@ def assign_by_size(df: DataFrame, source: str = "_source") -> DataFrame:
     for x in QUANTITIES.values():
         named = {r._bin: r.n for r in got if r._quantity == x.name and not r.free}
         weights, likes = _fit(x, named, {r._bin: r.n for r in got if r._quantity == x.name and r.free})
-        table += [(x.name, b, u, like, weights[u]) for (b, u), like in likes.items()]
-    fitted = df.sparkSession.createDataFrame(table, "_quantity string, _bin int, unit string, like double, weight double")
+        by_bin: dict[int, list] = {}
+        for (b, u), like in likes.items():
+            by_bin.setdefault(b, []).append((u, like, weights[u]))
+        table += [(x.name, b, units) for b, units in by_bin.items()]
+    fitted = df.sparkSession.createDataFrame(table, "_quantity string, _bin int, units array<struct<unit:string,like:double,weight:double>>")
     sized = _by_source(counts.where("free").select("_quantity", "_source", "_bin", "n"), fitted)
     loose = df.where("_bin is not null").withColumn("_s", F.coalesce(source, F.lit(""))).join(sized.withColumnRenamed("_source", "_s"),
         ["_quantity", "_s", "_bin"], "left").drop("_s")
