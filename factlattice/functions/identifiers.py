@@ -156,3 +156,26 @@ def alias_chain(c: Column, steps: list[tuple]) -> Column:
         else:
             raise ValueError(f"unknown alias operation {op}")
     return c
+
+
+def gtin_candidates(c: Column) -> Column:
+    """Every GTIN-14 that typed input may mean: its digits as a whole if there are 8 to 14, and each code in a list."""
+    whole = F.regexp_replace(c, "[^0-9]", "")
+    every = F.transform(F.array_union(F.array(whole), digit_codes(c)), gtin_readings)
+    return F.array_sort(F.array_distinct(F.flatten(every)))
+
+
+_MEASURE = r"(?i)^[0-9.,]+ ?(?:in|inch|ft|mm|cm|m|lb|lbs|oz|kg|g|v|volts?|w|watts?|kw|amps?|hz|btu|btuh|cfm|psig?|gal|l)$"
+
+
+def rejection(c: Column) -> Column:
+    """Why a text can't be an identifier; null where it may be one. The first reason counts: EMPTY, TOO_LONG (over 40 signs), TOO_SHORT
+    (under 3 letters and digits), NO_DIGIT, SENTENCE (over 3 words), DATE, YEAR, MEASURE, MONEY."""
+    t = trim(F.coalesce(c, F.lit("")))
+    bare = F.regexp_replace(t, "[^0-9A-Za-z]", "")
+    return (
+        F.when(t == "", "EMPTY").when(F.length(t) > 40, "TOO_LONG").when(F.length(bare) < 3, "TOO_SHORT").when(~t.rlike("[0-9]"), "NO_DIGIT")
+        .when(t.rlike(r"\S+(?: +\S+){3}"), "SENTENCE").when(t.rlike(r"^[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{2,4}$"),
+        "DATE").when(t.rlike("^(?:19|20)[0-9]{2}$"), "YEAR")
+        .when(t.rlike(_MEASURE), "MEASURE").when(t.rlike(r"^[$€£] ?[0-9]"), "MONEY")
+    )

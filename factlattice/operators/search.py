@@ -90,3 +90,54 @@ def tiered(exact: DataFrame, hits: DataFrame) -> DataFrame:
 def total(found: DataFrame) -> DataFrame:
     """(total): how many different documents were found."""
     return found.agg(F.count_distinct("id").alias("total"))
+
+
+def parse_filters(query: str) -> dict[str, dict]:
+    """``filter.NAME=a,b&filter.NAME.min=1&filter.NAME.max=9&filter.NAME.exists=true`` as {name: {in, min, max, exists}}.
+
+    At most ten names and a hundred values each; anything else that starts with 'filter.', a number that isn't one, or an empty range is
+    an error, other parameters are left alone."""
+    from urllib.parse import parse_qsl
+
+    out: dict[str, dict] = {}
+    for key, value in parse_qsl(query, keep_blank_values=True):
+        if not key.startswith("filter."):
+            continue
+        name, _, kind = key[len("filter.") :].partition(".")
+        if not name or kind not in ("", "min", "max", "exists"):
+            raise ValueError(f"unknown filter {key}")
+        f = out.setdefault(name, {})
+        if kind == "":
+            f["in"] = [*f.get("in", []), *[v for v in value.split(",") if v]]
+        elif kind == "exists":
+            if value not in ("true", "false"):
+                raise ValueError(f"{key} must be true or false")
+            f["exists"] = value == "true"
+        else:
+            f[kind] = float(value)
+    if len(out) > 10 or any(len(f.get("in", [])) > 100 for f in out.values()):
+        raise ValueError("too many filters or values")
+    if any(f.get("min", float("-inf")) > f.get("max", float("inf")) for f in out.values()):
+        raise ValueError("an empty range")
+    return out
+
+
+def facet_conditions(filters: dict[str, dict], value: Column) -> dict[str, Column]:
+    """The conditions of parsed filters on a fact's ``value``, for ``relational.facet_filter``; 'exists: false' isn't one of them."""
+    out = {}
+    for name, f in filters.items():
+        cond = F.lit(True)
+        if f.get("in"):
+            cond = cond & value.isin(*f["in"])
+        if "min" in f:
+            cond = cond & (value.try_cast("double") >= f["min"])
+        if "max" in f:
+            cond = cond & (value.try_cast("double") <= f["max"])
+        out[name] = cond
+    return out
+
+
+def bounded(items: Column, most: int) -> Column:
+    """(items, truncated): the first ``most`` of a list and whether there are more; an empty list for null."""
+    whole = F.coalesce(items, F.array())
+    return F.struct(F.slice(whole, 1, most).alias("items"), (F.size(whole) > most).alias("truncated"))

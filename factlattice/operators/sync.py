@@ -129,3 +129,23 @@ def insert_new(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
     for k in keys:
         cond = cond & one[k].eqNullSafe(s[f"_{k}"])
     return one.join(s, cond, "left_anti").select(*rows.columns)
+
+
+def reconcile(stored: DataFrame, incoming: DataFrame, key: str, digest: str) -> DataFrame:
+    """(key, revision, outcome): ``stored(key, digest, revision)`` against incoming records: CREATED (revision 1), UNCHANGED, or REVISED
+    (one more). Of several incoming rows of a key the least digest counts; stored keys that don't come in are left out."""
+    i = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(digest).alias("_new"))
+    s = stored.select(key, F.col(digest).alias("_old"), "revision")
+    same = F.col("_old").eqNullSafe(F.col("_new"))
+    j = i.join(s, key, "left")
+    return j.select(
+        key, F.when(F.col("revision").isNull(), 1).when(same, F.col("revision")).otherwise(F.col("revision") + 1).cast("int").alias("revision"),
+        F.when(F.col("revision").isNull(), "CREATED").when(same, "UNCHANGED").otherwise("REVISED").alias("outcome"),
+    )
+
+
+def immutable_violations(stored: DataFrame, patch: DataFrame, key: str, fixed: list[str]) -> DataFrame:
+    """(key, column): where a patch would change a column that may never change; null in the patch changes nothing."""
+    j = stored.select(key, *[F.col(c).alias(f"_{c}") for c in fixed]).join(patch.select(key, *fixed), key)
+    bad = F.array(*[F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in fixed])
+    return j.select(key, F.explode(F.filter(bad, lambda x: x.isNotNull())).alias("column"))

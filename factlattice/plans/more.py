@@ -9,6 +9,7 @@ from factlattice.functions import canonical, identifiers
 from factlattice.operators import dedup, ordering, relational, search, sync, versions
 from factlattice.plans.registry import Registry
 from factlattice.session import table
+from factlattice.sources import tabular
 from factlattice.streaming import usage
 
 query = Registry()
@@ -509,3 +510,77 @@ def usage_once(spark, root):
     u = dedup.unique_messages(table(spark, root, "api_usage_events"), ["route_key", "rows_served"])
     return u.groupBy("route_key").agg(F.count(F.lit(1)).alias("events"),
         F.sum(F.coalesce("rows_served", F.lit(0))).cast("bigint").alias("rows_served"))
+
+
+@query("""SELECT entity_id, canonical_name FROM entities e WHERE
+EXISTS (SELECT 1 FROM facts f WHERE f.entity_id = e.entity_id AND property = 'seer2' AND TRY_CAST(normalized_value AS DOUBLE) BETWEEN 15 AND 21) AND
+EXISTS (SELECT 1 FROM facts f WHERE f.entity_id = e.entity_id AND property = 'refrigerant' AND replace(normalized_value, '"', '') IN ('R-32',
+'R-454B')) AND
+EXISTS (SELECT 1 FROM facts f WHERE f.entity_id = e.entity_id AND property = 'warranty_years' AND normalized_value IS NOT NULL)""")
+def url_filters(spark, root):
+    """Filters as a URL has them: values, a range, and whether there is any."""
+    asked = search.parse_filters("page=2&filter.seer2.min=15&filter.seer2.max=21&filter.refrigerant=R-32,R-454B&filter.warranty_years.exists=true")
+    f = table(spark, root, "facts").where("normalized_value is not null")
+    cond = search.facet_conditions(asked, F.replace("normalized_value", F.lit('"'), F.lit("")))
+    return relational.facet_filter(table(spark, root, "entities"), f, cond).select("entity_id", "canonical_name")
+
+
+@query("""SELECT l_orderkey, array_to_string(list_slice(list_sort(list(DISTINCT l_partkey)), 1, 3), ',') AS parts, count(DISTINCT l_partkey) > 3 AS
+truncated
+FROM lineitem GROUP BY 1""")
+def bounded_lists(spark, root):
+    """Lists cut for display, with a mark where something was cut; the mark keeps the cut honest."""
+    g = table(spark, root, "lineitem").select("l_orderkey",
+        "l_partkey").distinct().groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("p"))
+    b = g.select("l_orderkey", search.bounded(_c("p"), 3).alias("b"))
+    return b.select("l_orderkey", F.array_join("b.items", ",").alias("parts"), _c("b.truncated").alias("truncated"))
+
+
+@query("""WITH s AS (SELECT c_custkey, c_name AS d, c_custkey % 4 + 1 AS r FROM customer WHERE c_custkey % 3 <> 0), i AS (SELECT c_custkey, CASE WHEN
+c_custkey % 5 = 0 THEN c_name || '!' ELSE c_name END AS d FROM customer WHERE c_custkey % 7 <> 0)
+SELECT i.c_custkey, CAST(CASE WHEN s.r IS NULL THEN 1 WHEN s.d = i.d THEN s.r ELSE s.r + 1 END AS INT) AS revision, CASE WHEN s.r IS NULL THEN
+'CREATED' WHEN s.d = i.d THEN 'UNCHANGED' ELSE 'REVISED' END AS outcome
+FROM i LEFT JOIN s ON s.c_custkey = i.c_custkey""")
+def record_revisions(spark, root):
+    """Incoming records against stored ones: created, unchanged, or one revision more. (Both are made of the one table.)"""
+    c, k = table(spark, root, "customer"), _c("c_custkey")
+    stored = c.where(k % 3 != 0).select(k, _c("c_name").alias("d"), (k % 4 + 1).alias("revision"))
+    incoming = c.where(k % 7 != 0).select(k, F.when(k % 5 == 0, F.concat("c_name", F.lit("!"))).otherwise(_c("c_name")).alias("d"))
+    return sync.reconcile(stored, incoming, "c_custkey", "d")
+
+
+@query("""SELECT s_suppkey, 's_nationkey' AS "column" FROM supplier WHERE s_suppkey % 6 = 0 UNION ALL SELECT s_suppkey, 's_name' FROM supplier WHERE s_suppkey % 4 = 1""")
+def immutable_columns(spark, root):
+    """Where a patch would change what may never change."""
+    s, k = table(spark, root, "supplier"), _c("s_suppkey")
+    patch = s.select(k, F.when(k % 6 == 0, _c("s_nationkey") + 1).alias("s_nationkey"),
+        F.when(k % 4 == 1, F.concat("s_name", F.lit("x"))).otherwise(_c("s_name")).alias("s_name"))
+    return sync.immutable_violations(s, patch, "s_suppkey", ["s_nationkey", "s_name"])
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN repeat('A1', 30) WHEN 2 THEN '7-A' WHEN 3 THEN p_name WHEN 4
+THEN 'see lot ' || p_partkey || ' on box' WHEN 5 THEN '1/2/' || (1000 + p_partkey % 9000) WHEN 6 THEN CAST(1990 + p_partkey % 60 AS VARCHAR) WHEN 7
+THEN p_partkey || ' lbs' ELSE '$' || (p_partkey + 100) END AS t FROM part)
+SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'EMPTY' WHEN 1 THEN 'TOO_LONG' WHEN 2 THEN 'TOO_SHORT' WHEN 3 THEN 'NO_DIGIT' WHEN 4 THEN 'SENTENCE'
+WHEN 5 THEN 'DATE' WHEN 6 THEN 'YEAR' WHEN 7 THEN 'MEASURE' ELSE 'MONEY' END AS reason FROM p
+UNION ALL SELECT -p_partkey - 1, NULL FROM part""")
+def identifier_rejections(spark, root):
+    """Why texts can't be identifiers, and that model numbers can."""
+    p, k = table(spark, root, "part"), _c("p_partkey")
+    s = k.cast("string")
+    t = (
+        F.when(k % 9 == 0, " ").when(k % 9 == 1, F.lit("A1" * 30)).when(k % 9 == 2, "7-A").when(k % 9 == 3, _c("p_name")).when(k % 9 == 4,
+        F.concat(F.lit("see lot "), s, F.lit(" on box")))
+        .when(k % 9 == 5, F.concat(F.lit("1/2/"), (k % 9000 + 1000).cast("string"))).when(k % 9 == 6, (k % 60 + 1990).cast("string")).when(k % 9 == 7,
+        F.concat(s, F.lit(" lbs"))).otherwise(F.concat(F.lit("$"), (k + 100).cast("string")))
+    )
+    good = p.select((-k - 1).alias("p_partkey"), identifiers.rejection(F.concat(F.lit("FL-"), (k + 100).cast("string"))).alias("reason"))
+    return p.select("p_partkey", identifiers.rejection(t).alias("reason")).unionByName(good)
+
+
+@query("""SELECT c_custkey, '"' || replace(CASE WHEN c_custkey % 2 = 0 THEN '''=' || c_name ELSE c_name || ' "x"' END, '"', '""') || '"' AS cell, '""' AS nothing FROM customer""")
+def report_cells(spark, root):
+    """Cells of a report: every one quoted, formulas disarmed."""
+    raw = F.when(_c("c_custkey") % 2 == 0, F.concat(F.lit("="), "c_name")).otherwise(F.concat("c_name", F.lit(' "x"')))
+    return table(spark, root, "customer").select("c_custkey", tabular.csv_field(raw, always=True).alias("cell"),
+        tabular.csv_field(F.lit(None).cast("string"), always=True).alias("nothing"))

@@ -82,3 +82,32 @@ def test_search_filters(spark):
     assert {r.id for r in search.ranked(index, ["ACME", "lamp"]).collect()} == {2} and search.ranked(index, ["absent"]).count() == 0
     tiers = search.tiered(spark.createDataFrame([(2,), (2,)], "id int"), search.ranked(index, ["acme"]))
     assert {(r.id, r.tier) for r in tiers.collect()} == {(2, 0), (1, 1)} and search.total(tiers).first().total == 2
+
+
+def test_url_filters():
+    got = search.parse_filters("a=1&filter.x=1,2&filter.x=3&filter.y.min=1.5&filter.y.max=2&filter.z.exists=false")
+    assert got == {"x": {"in": ["1", "2", "3"]}, "y": {"min": 1.5, "max": 2.0}, "z": {"exists": False}} and search.parse_filters("") == {}
+    for bad in ("filter.x.most=1", "filter.=1", "filter.x.min=a", "filter.x.min=3&filter.x.max=2", "filter.x.exists=yes",
+        "&".join(f"filter.f{i}=1" for i in range(11))):
+        with pytest.raises(ValueError):
+            search.parse_filters(bad)
+
+
+def test_revisions_and_immutable_columns(spark):
+    stored = spark.createDataFrame([("a", "x", 3), ("b", None, 1), ("c", "z", 2)], "k string, d string, revision int")
+    incoming = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "y"), ("n", None), (None, "q")], "k string, d string")
+    assert {tuple(r) for r in sync.reconcile(stored, incoming, "k", "d").collect()} == {("a", 3, "UNCHANGED"), ("b", 2, "REVISED"),
+        ("n", 1, "CREATED")}
+    patch = spark.createDataFrame([("a", None), ("b", "y"), ("c", "z"), ("q", "w")], "k string, d string")
+    assert {tuple(r) for r in sync.immutable_violations(stored, patch, "k", ["d"]).collect()} == {("b", "d")}
+    lists = spark.createDataFrame([([1, 2, 3],), ([1],), (None,)], "x array<int>").select(search.bounded(F.col("x"), 2).alias("b")).collect()
+    assert [(r.b["items"], r.b.truncated) for r in lists] == [([1, 2], True), ([1], False), ([], False)]
+
+
+def test_what_typed_codes_may_mean(spark):
+    from factlattice.functions import identifiers
+
+    cases = [("0 36000 29145 2", ["00036000291452"]), ("04252614 and 036000291452", ["00036000291452", "00042100005264"]), ("none", []), (None, [])]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "c string").select(identifiers.gtin_candidates(F.col("c")).alias("g"),
+        identifiers.rejection(F.col("c")).alias("r"))
+    assert [list(r.g or []) for r in df.collect()] == [g for _, g in cases] and [r.r for r in df.collect()][2:] == ["NO_DIGIT", "EMPTY"]
