@@ -162,7 +162,8 @@ def _tokenizer(raw: bytes) -> Tokenizer:
 
 
 def encode_texts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` columns of every row with ``ids ARRAY<INT>``. Null and empty text: an empty list. Rows stay where they are: no shuffle."""
+    """``keep`` columns of every row with ``ids ARRAY<INT>``. Null and empty text: an empty list. Large inputs stay where they are, small
+    ones are shuffled once to use all cores."""
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     src = spread(docs.select(*keep, F.col(text).alias("_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text") + ", ids array<int>"
