@@ -20,7 +20,9 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -29,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlattice.session import cut, rows_of, spread
+from factlattice.session import cut, spread
 
-MAX_PAIRS = 4_000_000
+# Bounds of memory alone: no result depends on them.
+PIECE, PIECES = 250_000, 64  # pairs in a piece of the table, and pieces that a worker holds at a time
+MAX_PAIRS = 1_000_000  # counts of pairs, looked up before, that a worker remembers
 CHARACTERS_AT_ONCE = 200_000
 SMOOTH = 0.3
 ODD = -0.4  # mutual information (nats) below which a pair counts as badly matched
@@ -135,19 +139,62 @@ def _byte_table(encoding: str) -> dict[str, int]:
     return table
 
 
+@dataclass
+class _Own:
+    """A piece of the pair table that isn't broadcast."""
+
+    value: tuple[np.ndarray, np.ndarray]
+
+
+class PairTable(dict):
+    """In how many texts each pair occurs: what was looked up is remembered, the rest read from sorted pieces when needed."""
+
+    def __init__(self, pieces: list[tuple]):
+        self.pieces = pieces
+        self.firsts = [first for first, _ in pieces]
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __missing__(self, pair: int) -> int:
+        n = 0
+        if (i := bisect_right(self.firsts, pair) - 1) >= 0:
+            pairs, counts = self._piece(i)
+            k = int(pairs.searchsorted(pair))
+            n = int(counts[k]) if k < len(pairs) and pairs[k] == pair else 0
+        if len(self) >= MAX_PAIRS:
+            self.clear()
+        self[pair] = n
+        return n
+
+    def _piece(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        piece = self.held.pop(i, None)
+        if piece is None:
+            source = self.pieces[i][1]
+            piece = source.value
+            if getattr(source, "_path", None):  # a broadcast keeps what it has read, but can read it again
+                source.__dict__.pop("_value", None)
+            if len(self.held) >= PIECES:
+                del self.held[next(iter(self.held))]
+        self.held[i] = piece  # the last used is last
+        return piece
+
+
 class Repairer:
     """Scores and repairs texts under a pair table."""
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, before: dict[int, int] | None = None, after: dict[int, int] | None = None):
-        """``before``, ``after``: by character, the greatest count of its pairs, where ``pairs`` doesn't hold all."""
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, before: dict[int, int] | None = None, after: dict[int, int] | None = None,
+            pieces: list[tuple] | None = None):
+        """``pieces``: the table in order, as the first pair of each piece and the broadcast of its sorted pairs and their counts, read
+        when needed; without them ``pairs`` is the whole table. ``before``, ``after``: by character, the greatest count of its pairs,
+        where ``pairs`` doesn't hold all."""
         total = counts[pairs == -1]
         self.texts = max(1, int(total[0])) if len(total) else 1
         keep = pairs >= 0
         pairs, counts = pairs[keep], counts[keep]
-        self.pair = dict(zip(pairs.tolist(), counts.tolist(), strict=True))
+        order = np.argsort(pairs)
+        self.pair = PairTable([(0, _Own((pairs[order], counts[order])))] if pieces is None else pieces)
         self.before: dict[int, int] = dict(before or {})
         self.after: dict[int, int] = dict(after or {})
-        for p, n in self.pair.items():
+        for p, n in zip(pairs.tolist(), counts.tolist(), strict=True):
             a, b = p >> 21, p & 0x1FFFFF
             self.before[a] = max(self.before.get(a, 0), n)
             self.after[b] = max(self.after.get(b, 0), n)
@@ -169,7 +216,8 @@ class Repairer:
         return got
 
     def _pair(self, a: int, b: int) -> int:
-        return self.pair.get((a << 21) + b, 0)
+        """In how many texts a pair occurs."""
+        return self.pair[(a << 21) + b]
 
     def _log_likelihood(self, before: str, run: str, after: str) -> float:
         total, a = 0.0, self._fold(before)
@@ -481,37 +529,54 @@ def _repairer(token: str, args: tuple) -> Repairer:
     return _REPAIRERS[token]
 
 
+def _in_pieces(table: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The counted pairs in their order, at most PIECE at a time."""
+    size = PIECE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        piece = lambda at: pa.RecordBatch.from_arrays([pa.array([a[:at].tobytes()], pa.binary()) for a in (pairs, n)], names=["pairs", "n"])
+        for batch in batches:
+            pairs, n = (np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip((pairs, n), batch.columns, strict=True))
+            while len(pairs) >= size:
+                yield piece(size)
+                pairs, n = pairs[size:], n[size:]
+        if len(pairs):
+            yield piece(len(pairs))
+
+    parts = max(1, -(-table.count() // size))
+    rows = table.select("pair", "n").repartitionByRange(parts, "pair").sortWithinPartitions("pair").mapInArrow(run, "pairs binary, n binary")
+    for r in rows.toLocalIterator():
+        yield np.frombuffer(r.pairs, np.int64), np.frombuffer(r.n, np.int64)
+
+
 def pair_table(docs: DataFrame, text: str = "text") -> tuple:
-    """The arguments of a Repairer for all documents. Beyond MAX_PAIRS the pairs of the fewest texts count as unseen, but what is
-    known of each character stays exact: no character becomes unknown by that."""
-    table = cut(pair_counts(docs, text))
-    levels = {r.level: r.rows for r in rows_of(table.groupBy(F.floor(F.log2(F.greatest("n",
-        F.lit(1)))).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("rows")), 64)}
-    least, kept = 0, sum(levels.values())
-    while kept > MAX_PAIRS:
-        kept -= levels.get(least, 0)
-        least += 1
-    counted = rows_of(table.where((F.col("pair") < 0) | (F.col("n") >= 2**least)), MAX_PAIRS + 1)
-    pairs = np.fromiter((r.pair for r in counted), np.int64, len(counted))
-    counts = np.fromiter((r.n for r in counted), np.int64, len(counted))
-    if not least:
-        return pairs, counts
-    sides = (F.shiftright("pair", 21), F.col("pair").bitwiseAND(F.lit((1 << 21) - 1)))
-    return pairs, counts, *({r.c: r.n for r in rows_of(table.where("pair >= 0").groupBy(c.alias("c")).agg(F.max("n").alias("n")),
-        1 << 21)} for c in sides)
+    """The arguments of a Repairer for all documents: the number of texts, what is known of each character, and every pair, broadcast
+    in pieces. Only one piece at a time passes through the driver, which keeps one number for each side of a character."""
+    before, after, pieces, texts = np.zeros(1 << 21, np.int64), np.zeros(1 << 21, np.int64), [], np.zeros(0, np.int64)
+    for pairs, n in _in_pieces(cut(pair_counts(docs, text))):
+        if pairs[0] < 0:  # the number of texts comes first
+            texts, pairs, n = n[:1], pairs[1:], n[1:]
+        if len(pairs):
+            np.maximum.at(before, pairs >> 21, n)
+            np.maximum.at(after, pairs & ((1 << 21) - 1), n)
+            pieces.append((int(pairs[0]), docs.sparkSession.sparkContext.broadcast((pairs, n))))
+    known = [{c: int(side[c]) for c in np.flatnonzero(side).tolist()} for side in (before, after)]
+    return np.full(len(texts), -1, np.int64), texts, *known, pieces
 
 
 def examined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, damaged, text, gain, mapping) of every document; ``text`` repaired where possible.
 
-    The pair table is counted over all documents, then broadcast: its size is checked. Documents move once to count pairs over
+    The pair table is counted over all documents, then broadcast in pieces, all of it however large. Documents move once to count pairs over
     distinct texts, and small inputs once more to use all cores. Repeated rows are judged alike; null text is not damaged and stays
     null.
     """
-    shared, token = docs.sparkSession.sparkContext.broadcast(pair_table(docs, text)), uuid.uuid4().hex
+    *known, pieces = pair_table(docs, text)
+    shared, token = docs.sparkSession.sparkContext.broadcast(tuple(known)), uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = _repairer(token, shared.value)
+        r = _repairer(token, (*shared.value, pieces))
         for f in frames:
             got = [r.examine(t if isinstance(t, str) else None) for t in f["_text"]]
             out = pd.DataFrame(got, columns=["damaged", "text", "gain", "mapping"])

@@ -163,3 +163,18 @@ def test_characters_stay_known_beyond_the_pair_limit(spark, monkeypatch):
     df = spark.createDataFrame([(f"{SOUND[0]} {i}",) for i in range(40)] + [("dŵr",)], "text string")
     r = garbled.Repairer(*garbled.pair_table(df))
     assert len(r.pair) <= 20 and r._plausible("ŵé") and not r._plausible("ж")
+
+
+def test_results_do_not_depend_on_the_size_of_the_pair_table(spark, monkeypatch):
+    texts = [f"{s} {i}" for i in range(40) for s in SOUND] + [wrong(SOUND[4], "cp1251", "latin-1"), wrong(SOUND[3], "iso8859-2", "latin-1"),
+        wrong(SOUND[0], "utf-8", "cp1252"), wrong(SOUND[6], "cp932", "cp1252"), "Le dŵr et le ŷd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = sorted(map(tuple, garbled.examined(df).collect()))
+    counts = {r.pair: r.n for r in garbled.pair_counts(df).collect() if r.pair >= 0}
+    monkeypatch.setattr(garbled, "MAX_PAIRS", 20)
+    monkeypatch.setattr(garbled, "PIECE", 7, raising=False)
+    monkeypatch.setattr(garbled, "PIECES", 3, raising=False)
+    r = garbled.Repairer(*garbled.pair_table(df))
+    assert len(counts) > 200 and all(r._pair(p >> 21, p & 0x1FFFFF) == n for p, n in counts.items()) and r._pair(0x416, 0xE9) == 0
+    assert len(r.pair) <= 20 and len(r.pair.held) <= 3
+    assert sum(row[1] for row in whole) == 4 and sorted(map(tuple, garbled.examined(df).collect())) == whole
